@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, which is installed beside the library and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import fair_mix
 
@@ -34,5 +41,26 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mixing, op6_histogram_sharding, op7_threshold_topk, op10_url_cascade)}
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    records = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
+QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op10_url_cascade)}
 ORACLE_SQL: dict[str, str] = {}
