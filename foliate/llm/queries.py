@@ -62,5 +62,12 @@ def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op10_url_cascade)}
+def op9_weighted_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "links", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
 ORACLE_SQL: dict[str, str] = {}
