@@ -69,5 +69,11 @@ def op9_weighted_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "links", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op4_pitman_yor, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
 ORACLE_SQL: dict[str, str] = {}
