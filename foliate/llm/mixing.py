@@ -99,3 +99,19 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     out = cum.withColumn("i", F.row_number().over(turn) - 1).withColumn("m", F.count("*").over(same)).join(taken, ["rank", "h", "d", "size"], "left")
     repeats = F.floor((F.coalesce("k", F.lit(0)) + F.col("m") - 1 - F.col("i")) / F.col("m")).cast("long")
     return out.select(F.col("d").alias("__doc_id"), F.col("source").alias("__source"), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """docs with every row as often as the mix takes it, all columns as they are.
+
+    Rows that repeat with one doc_id, source and size share what they are taken, the first of them the larger part.
+    """
+    mixed = fair_mix(docs.select("doc_id", "source", "text"), weights, max_epochs)
+    # A row for each different (doc_id, source, size), with how many rows it stands for and the rounds that all of them get.
+    per = mixed.groupBy(F.col("__doc_id").alias("__d"), F.col("__source").alias("__s"), F.col("size").alias("__n")).agg(F.sort_array(F.collect_list("repeats"), False).alias("__rounds"))
+    sized = docs.withColumn("__size", n_words(F.col("text")))
+    joined = sized.join(stash(per, "mix-rounds"), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
+    many = Window.partitionBy("__d", "__s", "__n").orderBy("text")
+    one = joined.where(F.size("__rounds") == 1).withColumn("__k", F.get("__rounds", F.lit(0)))
+    more = joined.where(F.size("__rounds") > 1).withColumn("__k", F.get("__rounds", F.row_number().over(many) - 1))
+    return one.unionByName(more).withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__k").cast("int")))).select(*docs.columns)

@@ -75,5 +75,12 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op4_pitman_yor, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    clean = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "text", F.col("__entities").alias("n_entities"), F.col("__kinds").alias("kinds"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op3_pii_surrogates, op4_pitman_yor, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
 ORACLE_SQL: dict[str, str] = {}
