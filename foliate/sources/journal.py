@@ -1,0 +1,70 @@
+"""The journal of an import: JSON lines, written from diagnostics, read strictly, and summed up in a report."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("event", "layer", "source_file", "source_row", "kind", "column", "status", "raw", "reason")] + [T.StructField(n, T.LongType()) for n in ("read", "accepted", "quarantined", "duplicate")])
+
+
+def json_safe(column: Column, kind: T.DataType) -> Column:
+    """A value as JSON text can hold it: numbers that aren't finite by name, decimals and dates as text, bytes in hex."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        odd = F.isnan(column) | (F.abs(column) == float("inf"))
+        name = F.when(F.isnan(column), "nan").when(column > 0, "inf").otherwise("-inf")
+        return F.when(odd, F.to_json(F.struct(name.alias("nonfinite_float")))).otherwise(column.cast("string"))
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(column))
+    return column.cast("string")
+
+
+def write_journal(events: DataFrame, path: str) -> None:
+    events.write.mode("append").json(path)
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Events in order; a line that isn't JSON of this form is an error."""
+    return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
+
+
+def require(condition: bool, message: str) -> None:
+    if not condition:
+        raise ValueError(message)
+
+
+def error_category() -> Column:
+    """A short name for what a diagnostic is about."""
+    kind, column, status = F.col("kind"), F.col("column"), F.col("status")
+    return (
+        F.when(kind == "quarantine", F.coalesce("reason", F.lit("quarantine")))
+        .when(kind == "duplicate", "duplicate")
+        .when(kind == "match", F.concat(F.lit("unresolved_"), column))
+        .when((kind == "parse") & (column.contains("date") | column.endswith("_at") | column.contains("heartbeat")), F.concat(status, F.lit("_date")))
+        .when(kind == "parse", F.concat(status, F.lit("_"), column))
+        .otherwise(kind)
+    )
+
+
+def import_report(journal: DataFrame, manifest_rows: int) -> dict:
+    """Accounts by layer and diagnostics by kind; raises ValueError where the journal contradicts itself or the manifest."""
+    journal = journal.cache()
+    try:
+        events = {r.event: r.n for r in journal.groupBy("event").agg(F.count("*").alias("n")).collect()}
+        require(events.get("run", 0) == 1, "the journal has to tell of one run")
+        require(events.get("completed", 0) == 1, "the run isn't complete")
+        require("rolled_back" not in events, "a layer was rolled back")
+        layers = [r.asDict() for r in journal.where("event = 'layer'").groupBy("layer").agg(*[F.sum(c).alias(c) for c in ("read", "accepted", "quarantined", "duplicate")]).orderBy("layer").collect()]
+        for x in layers:
+            require(x["read"] == x["accepted"] + x["quarantined"] + x["duplicate"], f"the accounts of {x['layer']} don't balance")
+        told = journal.where("event = 'diagnostic'")
+        kinds = {(r["layer"], r["kind"]): r["n"] for r in told.groupBy("layer", "kind").agg(F.count("*").alias("n")).collect()}
+        for x in layers:
+            for kind, column in (("quarantine", "quarantined"), ("duplicate", "duplicate")):
+                require(kinds.get((x["layer"], kind), 0) == x[column], f"{x['layer']}: {kind} records don't match the accounts")
+        require(sum(x["read"] for x in layers) == manifest_rows, "rows read differ from the manifest")
+        categories = {r["category"]: r["n"] for r in told.groupBy(error_category().alias("category")).agg(F.count("*").alias("n")).collect()}
+        return {"layers": layers, "categories": categories, "rows": manifest_rows}
+    finally:
+        journal.unpersist()
