@@ -21,9 +21,10 @@ SCALE = 64
 QUERY_EVERY = 20
 #: Candidates and queries that meet in one task.
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
-#: Positions that are read from every list between two looks at the threshold.
-DEPTH_STEP = 64
-FLAT_SHARE = 0.25
+#: Positions that are read from every list before the first look at the threshold, and the ratio of later looks.
+SEED, GROWTH = 8, 1.25
+#: Positions read of all lists, as a share of the block, from which on the whole block is scored at once.
+FLAT_SHARE = 0.5
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -36,8 +37,21 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out
 
 
-def threshold_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, places: np.ndarray, query_places: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its index, candidates' indices, scores): at least its k best of the block, ties to smaller ids."""
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k highest scores, ties to smaller ids."""
+    close = np.arange(len(scores))
+    if len(scores) > k:
+        close = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return close[np.lexsort((ids[close], -scores[close]))[:k]]
+
+
+def threshold_search(queries: np.ndarray, block: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (its index, candidates' indices, scores): its k best of the block, ties to smaller ids.
+
+    own: the index in the block of the query's own row, or -1. A query first reads SEED positions of every list and scores
+    what they name; the k-th score so far then tells the depth at which the threshold falls below it, and no list is read
+    further. Queries that read so deep that the lists name most of the block score it as one matrix product.
+    """
     width = max(queries.shape[1], block.shape[1])
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     block = np.pad(block, ((0, 0), (0, width - block.shape[1])))
@@ -46,41 +60,40 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarr
     safe = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * width < 2**52
     kind = np.float64 if safe else object
     queries, block = queries.astype(kind), block.astype(kind)
-    order = np.argsort(block.astype(np.float64) if safe else block, axis=0, kind="stable")
-    columns = np.arange(width)
+    order = np.argsort(block, axis=0, kind="stable")
+    lists = np.take_along_axis(block, order, 0)
+    # After `depth` positions of every list, nothing unmet is above the values at these places.
+    depths = np.unique(np.minimum(n, (SEED * GROWTH ** np.arange(0, 64)).astype(np.int64)))
+    bounds = lists[n - depths] @ np.maximum(queries, 0).T + lists[depths - 1] @ np.minimum(queries, 0).T
+    flat: list[int] = []
+
+    def named(q: int, depth: int) -> np.ndarray:
+        rising, falling = np.flatnonzero(queries[q] < 0), np.flatnonzero(queries[q] > 0)
+        met = np.unique(np.concatenate((order[:depth][:, rising].ravel(), order[n - depth :][:, falling].ravel())))
+        return met[met != own[q]]
+
     for q, vector in enumerate(queries):
-        rising = vector < 0  # these lists are read from their small end
-        used = np.flatnonzero(vector != 0)
-        seen = np.zeros(n, bool)
-        best_i, best_s = np.empty(0, np.int64), np.empty(0, kind)
-        depth, step = 0, DEPTH_STEP
-        while depth < n:
-            stop = min(n, depth + step)
-            if stop >= FLAT_SHARE * n or not len(used):  # the lists have named most of the block already
-                met, stop = np.flatnonzero(~seen), n
-            else:
-                up = order[depth:stop][:, used[rising[used]]]
-                down = order[n - stop : n - depth][:, used[~rising[used]]]
-                met = np.unique(np.concatenate((up.ravel(), down.ravel())))
-                met = met[~seen[met]]
-            seen[met] = True
+        met = named(q, int(depths[0]))
+        stop = len(depths) - 1
+        if len(met) >= k:
+            kth = np.partition(scores := block[met] @ vector, len(met) - k)[len(met) - k]
+            stop = int(np.argmax(bounds[:, q] < kth)) if (bounds[:, q] < kth).any() else stop
+        if depths[stop] * np.count_nonzero(vector) >= FLAT_SHARE * n or depths[stop] == n:
+            flat.append(q)
+            continue
+        if stop:
+            met = named(q, int(depths[stop]))
             scores = block[met] @ vector
-            fine = places[met] != query_places[q]  # every row but the query's own
-            best_i, best_s = np.concatenate((best_i, met[fine])), np.concatenate((best_s, scores[fine]))
-            if len(best_i) > k:
-                first = np.lexsort((ids[best_i], -best_s))[:k] if len(best_i) < 4 * k else None
-                if first is None:
-                    kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
-                    close = np.flatnonzero(best_s >= kth)
-                    first = close[np.lexsort((ids[best_i[close]], -best_s[close]))[:k]]
-                best_i, best_s = best_i[first], best_s[first]
-            depth, step = stop, 2 * step
-            if depth < n and len(best_i) == k:
-                last = np.where(rising, depth - 1, n - depth)
-                bound = block[order[last, columns], columns] @ vector
-                if bound < best_s.min():
-                    break
-        yield q, best_i, best_s
+        first = _best(scores, ids[met], k)
+        yield q, met[first], scores[first]
+    for at in range(0, len(flat), 128):
+        some = np.array(flat[at : at + 128])
+        for q, scores in zip(some.tolist(), queries[some] @ block.T, strict=True):
+            met = np.arange(n)
+            if own[q] >= 0:
+                met, scores = np.delete(met, own[q]), np.delete(scores, own[q])
+            first = _best(scores, ids[met], k)
+            yield q, met[first], scores[first]
 
 
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_every: int = QUERY_EVERY, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -108,8 +121,9 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_every: int =
         out: list[list[np.ndarray]] = [[] for _ in names]
         if left.num_rows and right.num_rows:
             ids, query_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            query_places = right["place"].to_numpy()
-            for q, best, scores in threshold_search(_matrix(right["v"]), query_ids, _matrix(left["v"]), ids, left["place"].to_numpy(), query_places, k):
+            query_places, place = right["place"].to_numpy(), {p: i for i, p in enumerate(left["place"].to_pylist())}
+            own = np.array([place.get(p, -1) for p in query_places.tolist()])
+            for q, best, scores in threshold_search(_matrix(right["v"]), _matrix(left["v"]), ids, own, k):
                 for column, values in zip(out, (np.full(len(best), query_places[q]), np.full(len(best), query_ids[q]), ids[best], scores.astype(np.int64)), strict=True):
                     column.append(values)
         return pa.table({name: pa.array(np.concatenate(x) if x else [], pa.int64()) for name, x in zip(names, out, strict=True)})
