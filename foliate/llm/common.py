@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Folders of this machine, by application, where no shared one is configured.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; a folder of this machine only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="foliate-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="foliate-")
+        where = _own[app]
     return where.rstrip("/")
 
 

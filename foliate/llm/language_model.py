@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stash
-from .words import Batch, split
+from .words import Batch, slices, split
 
 #: A word that makes up at least one of so many training tokens is hot.
 HOT = 1000
@@ -74,13 +74,23 @@ def _tokens(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, doc, kind
 
 
+def _all_tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_tokens() of a batch, made a slice at a time."""
+    parts, at = [], 0
+    for part in slices(batch, column):
+        tok, doc, kind = _tokens(split(part.column(column), lower=True))
+        parts.append((tok, doc + at, kind))
+        at += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(text, held) to (word, n): how often each word and the end occur in texts that aren't held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = batch.filter(pa.compute.invert(batch.column("held")))
-            tok, _, _ = _tokens(split(train.column("text"), lower=True))
+            tok, _, _ = _all_tokens(train, 0)
             found, counts = np.unique(tok, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
@@ -100,7 +110,7 @@ def _number(docs: DataFrame, hot: np.ndarray, tasks: int, path: str) -> tuple[Da
             for start in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(start, BATCH_DOCS)
                 number, seq = part << 32 | seq, seq + 1
-                tok, doc, ending = _tokens(split(batch.column("text"), lower=True))
+                tok, doc, ending = _all_tokens(batch, 1)
                 at = np.minimum(np.searchsorted(hot_, tok), max(len(hot_) - 1, 0))
                 is_hot = hot_[at] == tok if len(hot_) else np.zeros(len(tok), bool)
                 context = np.empty(len(tok), np.int64)

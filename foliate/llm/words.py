@@ -7,11 +7,15 @@ of n distinct ones share one with a probability below n * n / 2**65.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
+#: Bytes of text that are worked on at a time; a byte takes some fifty bytes of arrays meanwhile.
+SLICE_BYTES = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 _RANDOM = np.random.Generator(np.random.PCG64(4711))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
@@ -75,6 +79,16 @@ class Batch:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have few enough bytes for a cache, or a single longer text; an empty batch as it is."""
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    sums, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most_bytes, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def split(texts: pa.Array, lower: bool = False) -> Batch:
     """The words of texts; null: none. lower: A-Z count as a-z."""
     if isinstance(texts, pa.ChunkedArray):
