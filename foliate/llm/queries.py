@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -19,7 +20,7 @@ def op1_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import fair_mix
 
     mixed = fair_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select(F.col("__doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("__doc_id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,3 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fair_mixing, op2_certified_packing, op3_pii_surrogates, op4_pitman_yor, op5_arc_to_warc, op6_histogram_sharding, op7_threshold_topk, op8_quality_ratio, op9_weighted_neardup, op10_url_cascade)}
-ORACLE_SQL: dict[str, str] = {}
