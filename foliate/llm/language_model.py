@@ -409,7 +409,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             get = lambda name, t: np.frombuffer(texts[name][j].as_py(), t)  # noqa: B023, E731
             n, n_hot, word, context = get("a", np.uint32), get("b", np.uint32), get("c", np.uint16), get("d", np.uint16)
             doc = np.repeat(np.arange(len(n)), n_hot)
-            sums = [np.bincount(doc, x, minlength=len(n)) for x in (table.value[word, context] if len(word) else np.zeros(0), base(hot_count)[word] if len(word) else np.zeros(0))]
+            sums = [np.bincount(doc, x, minlength=len(n)).astype(float) for x in (table.value[word, context] if len(word) else np.zeros(0), base(hot_count)[word] if len(word) else np.zeros(0))]
             known = n_hot.astype(np.int64)
             for i in range(rows.num_rows):
                 read = lambda name, t: np.frombuffer(rows[name][i].as_py(), t)  # noqa: B023, E731
