@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA
+from oracle import DATA
 from oracle import compare
 
 from foliate.llm.queries import ORACLE_SQL, QUERIES

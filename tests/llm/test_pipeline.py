@@ -1,4 +1,4 @@
-from conftest import DATA
+from oracle import DATA
 
 import corpus_pipeline as C
 from foliate.llm.mixing import fair_mix
