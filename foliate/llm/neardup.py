@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .components import components
-from .words import Batch, mix, split, windows
+from .words import Batch, mix, slices, split, windows
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -156,13 +156,12 @@ def frequent_weights(docs: DataFrame, rare: int = RARE) -> Weights:
             # Under 4 * rare documents that share is less than two of them; every shingle is then named that two hold.
             return rows(found[often], counts[often])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_DOCS):
-                held.append(distinct(batch.column(0).slice(at, CHUNK_DOCS)))
-                size += min(CHUNK_DOCS, batch.num_rows - at)
-                if size >= CHUNK_DOCS:
-                    yield close()
-                    held, size = [], 0
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            held.append(distinct(batch.column(0)))
+            size += batch.num_rows
+            if size >= CHUNK_DOCS:
+                yield close()
+                held, size = [], 0
         if size:
             yield close()
 
@@ -175,7 +174,7 @@ def frequent_weights(docs: DataFrame, rare: int = RARE) -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             found = distinct(batch.column(0))
             at = np.minimum(np.searchsorted(shared.value, found), len(sums) - 1)
             sums += np.bincount(at[shared.value[at] == found], minlength=len(sums))
@@ -207,11 +206,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) ->
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                near = similarities(batch.column(2), batch.column(3), weights.value) >= threshold - 1e-9
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            near = similarities(batch.column(2), batch.column(3), weights.value) >= threshold - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return stash(joined.mapInArrow(run, "a binary, b binary"), "neardup-links")
 
@@ -235,18 +232,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                drawn = sample(*weighted_sets(batch.column(2), weights.value), batch.num_rows).astype(np.uint64)
-                keys = np.zeros((batch.num_rows, BANDS), np.uint64)
-                for i in range(BANDS):
-                    key = np.full(batch.num_rows, i + 1, np.uint64)
-                    for j in range(ROWS):
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + drawn[i * ROWS + j])
-                    keys[:, i] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "digest", "bands"])
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            drawn = sample(*weighted_sets(batch.column(2), weights.value), batch.num_rows).astype(np.uint64)
+            keys = np.zeros((batch.num_rows, BANDS), np.uint64)
+            for i in range(BANDS):
+                key = np.full(batch.num_rows, i + 1, np.uint64)
+                for j in range(ROWS):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + drawn[i * ROWS + j])
+                keys[:, i] = key
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "digest", "bands"])
 
     read = docs.where("text is not null").select("doc_id", _digest(F.col("text")).alias("digest"), "text")
     signed = stash(read.mapInArrow(bands, f"doc_id {kind}, digest binary, bands array<bigint>"), "neardup-signatures")
