@@ -152,7 +152,7 @@ def matches_vector(vector: Column, query: str) -> Column:
     if not wanted:
         return F.lit(False)
     have = F.transform(vector, lambda x: x["lexeme"])
-    return F.coalesce(F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains(have, w)), F.lit(False))
+    return F.coalesce(F.size(F.array_intersect(have, F.array(*[F.lit(w) for w in wanted]))) == len(wanted), F.lit(False))
 
 
 def matches_text(text: Column, query: str) -> Column:

@@ -35,7 +35,7 @@ def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, sha256, bytes and rows of each file: rows of Parquet files, line feeds of others."""
     files = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
-    lines = F.length(F.col("content")) - F.length(F.regexp_replace(F.decode("content", F.lit("ISO-8859-1")), "\n", "").cast("string"))
+    lines = F.length(F.col("content")) - F.length(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\n", ""))
     hashed = files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), lines.cast("long").alias("lines"))
     tables = [p for p in paths if p.endswith(".parquet")]
     if not tables:
