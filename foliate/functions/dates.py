@@ -91,46 +91,45 @@ def parse_by_names(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["value", "zoned", "status"]).astype({"value": "datetime64[us]"})
 
 
-def _result(value: Column | None, zoned: Column | None, status: Column) -> Column:
-    return F.struct((value if value is not None else F.lit(None)).cast("timestamp_ntz").alias("value"), (zoned if zoned is not None else F.lit(False)).alias("zoned"), status.alias("status"))
-
-
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, as Unicode has it."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def parse_plain(raw: Column) -> Column:
-    """A struct of PARSED for the notations that built-in functions read; null for the others."""
-    text = strip(raw)
-    ok = lambda value: F.when(value.isNotNull(), F.lit("success")).otherwise(F.lit("failed"))
-    offset = F.regexp_extract(text, ISO, 3)
-    zoned = offset != ""
-    with_time = F.regexp_extract(text, ISO, 1) != ""
-    # A time with an offset is an instant; its wall clock in UTC is kept. The fraction is cut after microseconds.
-    norm = F.regexp_replace(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    instant = F.try_to_timestamp(norm)
-    iso_value = F.when(with_time, instant.cast("timestamp_ntz")).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("timestamp_ntz"))
-    iso = _result(iso_value, zoned & with_time, ok(iso_value))
-    month, day, year = (F.regexp_extract(text, AMERICAN, i) for i in (1, 2, 3))
-    # Two-digit years below 69 are of this century.
-    full = F.when(F.length(year) == 2, F.when(year.try_cast("int") < 69, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))).otherwise(year)
-    american_value = F.try_to_timestamp(F.concat_ws("/", month, day, full), F.lit("M/d/yyyy")).cast("timestamp_ntz")
-    short = F.concat(F.substring(text, 1, 4), F.when(F.substring(text, 5, 2).try_cast("int") < 69, "20").otherwise("19"), F.substring(text, 5, 2))
-    eight = F.coalesce(F.try_to_timestamp(text, F.lit("MMddyyyy")), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    digits_value = F.when(F.length(text) == 6, F.try_to_timestamp(short, F.lit("MMddyyyy"))).otherwise(eight).cast("timestamp_ntz")
-    return (
-        F.when(raw.isNull(), _result(None, None, F.lit("null")))
-        .when(text == "", _result(None, None, F.lit("empty")))
-        .when(text.rlike(ISO), iso)
-        .when(text.rlike(AMERICAN), _result(american_value, None, ok(american_value)))
-        .when(text.rlike(DIGITS), _result(digits_value, None, ok(digits_value)))
+def with_plain(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with a struct of PARSED for the notations that built-in functions read, and null for the others.
+
+    The form of a value is found first, then one date in year-month-day order from the parts of every form, so that each value
+    is parsed once; separate steps keep the generated code small.
+    """
+    text = F.col("__text")
+    form = (
+        F.when(F.col(column).isNull(), "null").when(text == "", "empty").when(text.rlike(ISO), F.when(F.length(text) > 10, "moment").otherwise("iso")).when(text.rlike(AMERICAN), "american").when(text.rlike(DIGITS), "digits")
     )
+    # Two-digit years below 69 are of this century.
+    century = lambda two: F.concat(F.when(two < "69", "20").otherwise("19"), two)
+    month, day, year = (F.regexp_extract(text, AMERICAN, i) for i in (1, 2, 3))
+    american = F.concat_ws("-", F.when(F.length(year) == 2, century(year)).otherwise(year), month, day)
+    cut = lambda y, n, m, d: F.concat_ws("-", F.substring(text, y, n), F.substring(text, m, 2), F.substring(text, d, 2))
+    six = F.concat_ws("-", century(F.substring(text, 5, 2)), F.substring(text, 1, 2), F.substring(text, 3, 2))
+    digits = F.when(F.length(text) == 6, six).otherwise(cut(5, 4, 1, 3))
+    is_ = lambda *names: F.col("__form").isin(*names)
+    steps = df.withColumn("__text", strip(F.col(column))).withColumn("__form", form)
+    steps = steps.withColumn("__day", F.when(is_("iso"), text).when(is_("american"), american).when(is_("digits"), digits))
+    # Eight digits that are no American date may begin with the year. A fraction is cut after microseconds.
+    steps = steps.withColumn("__other", F.when(is_("digits") & (F.length(text) == 8), cut(1, 4, 5, 7)))
+    steps = steps.withColumn("__moment", F.when(is_("moment"), F.regexp_replace(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    parsed = F.coalesce(F.try_to_timestamp("__day", F.lit("yyyy-M-d")), F.try_to_timestamp("__other", F.lit("yyyy-M-d")), F.try_to_timestamp("__moment"))
+    steps = steps.withColumn("__value", parsed.cast("timestamp_ntz"))
+    status = F.when(is_("null", "empty"), F.col("__form")).when(F.col("__value").isNotNull(), "success").otherwise("failed")
+    zoned = is_("moment") & text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    result = F.struct(F.col("__value").alias("value"), zoned.alias("zoned"), status.alias("status"))
+    return steps.withColumn(out, F.when(F.col("__form").isNotNull(), result)).drop("__text", "__form", "__day", "__other", "__moment", "__value")
 
 
 def with_parsed(df: DataFrame, column: str, out: str = "__parsed") -> DataFrame:
     """df with a struct of PARSED for a text column. Values that need the slow path go through it once each."""
-    plain = df.withColumn(out, parse_plain(F.col(column)))
+    plain = with_plain(df, column, out)
     slow = plain.where(F.col(out).isNull()).select(F.col(column).alias("__raw")).distinct()
     slow = slow.withColumn("__slow", parse_by_names(strip(F.col("__raw"))))
     joined = plain.join(slow, F.col(column) == F.col("__raw"), "left")
