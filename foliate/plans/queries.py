@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -128,7 +129,7 @@ def _daily_links(events: DataFrame) -> DataFrame:
 
 def q5_mv(spark: SparkSession, d: str) -> DataFrame:
     """The daily aggregate from a materialised view."""
-    return MaterializedView(spark, f"{shared_dir(spark)}/daily-{id(spark)}", lambda: _daily_links(load(spark, d, "events"))).refresh()
+    return MaterializedView(spark, f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}", lambda: _daily_links(load(spark, d, "events"))).refresh()
 
 
 def q5_mv_refresh(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +137,7 @@ def q5_mv_refresh(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").select("ts", "event_type")
     new = events.where("event_type is not null").limit(0).unionByName(spark.range(21).select(F.expr("timestamp_ntz'2026-10-10 12:00:00'").alias("ts"), F.concat(F.lit("model-"), (F.col("id") % 7).cast("string")).alias("event_type")))
     source = {"rows": events}
-    view = MaterializedView(spark, f"{shared_dir(spark)}/daily-new-{id(spark)}", lambda: _daily_links(source["rows"]))
+    view = MaterializedView(spark, f"{shared_dir(spark)}/daily-new-{uuid.uuid4().hex}", lambda: _daily_links(source["rows"]))
     before = view.refresh()
     if not before.where("processing_date = date'2026-10-10'").isEmpty():
         raise AssertionError("the new rows can't be there yet")
