@@ -149,11 +149,13 @@ class WordEncoder:
             ids = self.library.encode(w.decode(), add_special_tokens=False).ids
             self.known[w] = np.array(ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        self.known, self.cuts = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
         if len(self.known) > CACHE_STRINGS:
-            self.known.clear()
-            self.cuts.clear()
+            self.forget()
         missing = set().union(*parts) - self.known.keys() if parts else set()
         if missing:
             self._learn(missing)
