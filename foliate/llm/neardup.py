@@ -27,6 +27,10 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: A shingle in at most one of so many documents has the largest weight.
 RARE = 100
+#: Rows and bytes of texts that are compared with as many others in one task.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: 64-bit words of the filter that spares texts a join, and the keys up to which it is used.
+FILTER_WORDS, FILTER_KEYS = 1 << 16, 400_000
 #: Documents over which a task looks for frequent shingles at a time.
 CHUNK_DOCS = 2000
 
@@ -213,16 +217,110 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) ->
     return stash(joined.mapInArrow(run, "a binary, b binary"), "neardup-links")
 
 
+def _near_within(texts: pa.Array, bucket: np.ndarray, label: np.ndarray, weights: Weights, threshold: float) -> list[tuple[int, int]]:
+    """Rows to links between rows of one bucket whose labels differ and whose similarity reaches the threshold.
+
+    Of all such links enough are returned to connect what they connect. Shared weight is summed over the shingles' lists of
+    rows, so texts are compared exactly and no pair is made that isn't a link.
+    """
+    n = len(bucket)
+    parts, at = [], 0
+    for part in slices(pa.record_batch([texts], names=["text"]), 0):
+        doc, hashes, weight = weighted_sets(part.column(0), weights)
+        parts.append((doc + at, hashes, weight))
+        at += part.num_rows
+    doc, hashes, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    total = np.bincount(doc, weight, minlength=n)
+    order = np.lexsort((hashes, bucket[doc]))
+    doc, hashes, weight = doc[order], hashes[order], weight[order]
+    own = bucket[doc]
+    starts = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1]))))
+    sizes = np.diff(np.concatenate((starts, [len(doc)])))
+    shared = np.zeros((n, n), np.float32)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= 16)]).tolist():
+        rows = starts[sizes == size][:, None] + np.arange(size)
+        for i in range(size):
+            for j in range(i + 1, size):
+                a, b = doc[rows[:, i]], doc[rows[:, j]]
+                np.add.at(shared, (np.minimum(a, b), np.maximum(a, b)), np.minimum(weight[rows[:, i]], weight[rows[:, j]]))
+    for s, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+        rows, w = doc[s : s + size], weight[s : s + size].astype(np.float32)
+        by = np.argsort(rows)
+        shared[np.ix_(rows[by], rows[by])] += np.minimum.outer(w[by], w[by])
+    a, b = np.nonzero(np.triu(shared, 1))
+    inside = shared[a, b].astype(np.float64)
+    near = (inside / np.maximum(total[a] + total[b] - inside, 1e-300) >= threshold - 1e-6) & (label[a] != label[b])
+    up = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    links = []
+    for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        # Rows of a label are connected already, whatever the bucket.
+        p, q = root(-1 - int(label[x])), root(-1 - int(label[y]))
+        if p != q:
+            up[p] = q
+            links.append((x, y))
+    return links
+
+
+def _links_in_buckets(rest: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) that connect what the rows (bucket, digest, label) leave apart though it is near.
+
+    Small buckets are put together into tasks. A bucket of more than BLOCK_ROWS rows or BLOCK_BYTES bytes is cut into blocks,
+    and a task compares two of them, so that no task's memory grows with a bucket.
+    """
+    rows = stash(rest.join(texts.select("digest", F.octet_length("text").alias("size")), "digest"), "neardup-rest")
+    sums = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    rows = rows.join(stash(sums, "neardup-blocks"), "bucket").withColumn("i", F.pmod(F.xxhash64("digest"), "blocks"))
+    packs = max(1, -(-rows.where("blocks = 1").count() // BLOCK_ROWS))
+    alone = rows.where("blocks = 1").select("bucket", "digest", "label", F.pmod(F.xxhash64("bucket"), F.lit(packs)).alias("k"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    cut = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select("bucket", "digest", "label", F.col("bucket").alias("k"), F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"))
+    full = alone.unionByName(cut).join(texts, "digest")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        digest = table["digest"].to_pylist()
+        _, label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)
+        found = _near_within(table["text"].chunk(0), table["bucket"].to_numpy(), label, weights.value, threshold)
+        return pa.table({"a": pa.array([digest[x] for x, _ in found], pa.binary()), "b": pa.array([digest[y] for _, y in found], pa.binary())})
+
+    return stash(full.groupBy("k", "i", "j").applyInArrow(run, "a binary, b binary"), "neardup-links")
+
+
+def _maybe_in(digests: DataFrame) -> Column | None:
+    """Whether column `digest` may be among digests, by a Bloom filter of fixed size: true for all that are. None, which
+    spares nothing, if they are too many for it.
+    """
+    if digests.count() > FILTER_KEYS:
+        return None
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(j)), F.lit(64 * FILTER_WORDS)) for j in range(4)]
+    at = digests.select(F.explode(F.array(*places(F.col("digest")))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most FILTER_WORDS
+    found = dict(map(tuple, rows))
+    words = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(FILTER_WORDS))), ",").cast("array<bigint>")
+    out = F.lit(True)
+    for p in places(F.col("digest")):
+        out = out & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64))) == 1)
+    return out
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = RARE) -> DataFrame:
-    """(doc_id, text) to (doc_id, digest, class_id, links, kept), a row a document.
+    """(doc_id, text) to (doc_id, digest, class_id, kept), a row a document.
 
-    Equal texts are one text and are sampled, banded and verified once. class_id is the smallest doc_id of a class; links
-    counts the verified links of the document's text to other texts; kept is true for the rows of the text of that smallest
-    doc_id (rows that repeat it included: keep_one() leaves one of them). Texts are compared whole, A-Z as a-z. A text of
+    Equal texts are one text and are sampled, banded and verified once. class_id is the smallest doc_id of a class; kept is
+    true for the rows of the text of that smallest doc_id (rows that repeat it included: keep_one() leaves one of them).
+    Links are the pairs of texts that share a band and reach the threshold; where texts are connected already their other
+    links aren't looked for, as they change no class. Texts are compared whole, A-Z as a-z. A text of
     one to four words is near only to the same words; texts without words are near to equal ones. Null texts have no
     digest, and each is a class of its own. Empty tables give no rows. Other columns are not read.
     """
@@ -247,14 +345,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     signed = stash(read.mapInArrow(bands, f"doc_id {kind}, digest binary, bands array<bigint>"), "neardup-signatures")
     nodes = stash(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "neardup-texts")
 
-    # Candidates: every text of a bucket with the bucket's smallest.
+    # Candidates: every text of a bucket with its hub, the text that has most company in all its buckets. Where copies
+    # were edited one by one, that is the original, to which most of them are near though not to each other.
     buckets = nodes.select(F.explode("bands").alias("bucket"), "digest")
-    hubs = stash(buckets.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "neardup-hubs")
-    members = stash(buckets.join(hubs, "bucket"), "neardup-members")
+    crowds = stash(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "neardup-buckets")
+    crowded = stash(buckets.join(crowds, "bucket"), "neardup-crowded")
+    company = stash(crowded.groupBy("digest").agg(F.sum("n").alias("company")), "neardup-company")
+    hubs = crowded.join(company, "digest").groupBy("bucket").agg(F.max(F.struct("company", "digest")).alias("hub"))
+    hubs = stash(hubs.select("bucket", F.col("hub.digest").alias("hub")), "neardup-hubs")
+    members = stash(crowded.select("bucket", "digest").join(hubs, "bucket"), "neardup-members")
     stars = stash(members.where("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct(), "neardup-pairs")
     # The texts that are candidates at all, once each.
     wanted = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnRenamed("digest", "d")
-    own = read.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = stash(wanted, "neardup-wanted")
+    maybe = _maybe_in(wanted.select(F.col("d").alias("digest")))
+    own = (read if maybe is None else read.where(maybe)).join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = stash(own.select("digest", "text").dropDuplicates(["digest"]), "neardup-candidates")
     links = _verified(stars, texts, weights, threshold)
 
@@ -264,27 +369,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     named = stash(named, "neardup-named")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
     rest = stash(named.join(mixed, "bucket"), "neardup-mixed")
-    one, two = rest.where("digest <> hub").select("bucket", F.col("digest").alias("a"), F.col("label").alias("la")), rest.where("digest <> hub").select("bucket", F.col("digest").alias("b"), F.col("label").alias("lb"))
-    more = one.join(two, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
-    more = stash(more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "neardup-more")
-    links = links.unionByName(_verified(more, texts, weights, threshold))
+    links = links.unionByName(_links_in_buckets(rest.select("bucket", "digest", "label"), texts, weights, threshold))
 
     names = stash(components(links), "neardup-classes").withColumnRenamed("node", "digest")
-    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
-    classes = nodes.select("digest", "rep").join(names, "digest", "left").join(degree, "digest", "left")
-    classes = classes.select("digest", "rep", F.coalesce("label", "digest").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = nodes.select("digest", "rep").join(names, "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     best = classes.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("best"))
-    classes = stash(classes.join(best, "label").select("digest", F.col("best.rep").alias("class_id"), "links", (F.col("digest") == F.col("best.digest")).alias("is_best")), "neardup-result")
-    found = signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "links", (F.col("is_best") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    alone = docs.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
+    classes = stash(classes.join(best, "label").select("digest", F.col("best.rep").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("is_best")), "neardup-result")
+    found = signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", (F.col("is_best") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    alone = docs.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, all its columns as they are; rows with a null text all stay."""
     columns = docs.columns
-    kept = near_duplicates(docs, threshold).where("kept and digest is not null").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own = docs.withColumn("__own", _digest(F.col("text").cast("string")))
-    chosen = own.join(kept, (F.col("__own") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    chosen = chosen.dropDuplicates(["doc_id", "__own"]).select(*columns)
-    return chosen.unionByName(docs.where("text is null"))
+    rows = stash(near_duplicates(docs, threshold).where("digest is not null").select("doc_id", "digest", "kept"), "neardup-kept")
+    # A text of which no other row has a near copy stays as it is; only the others' rows move.
+    per = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("kept").alias("all_kept"))
+    moving = stash(per.where("n > 1 or not all_kept").select("digest"), "neardup-moving")
+    maybe = _maybe_in(moving)
+    own = docs.where("text is not null").withColumn("digest" if "digest" not in columns else "__own", _digest(F.col("text").cast("string")))
+    if "digest" in columns:
+        own = own.withColumnRenamed("digest", "__theirs").withColumnRenamed("__own", "digest")
+    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    judged = own if maybe is None else own.where(maybe)
+    chosen = judged.join(kept, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "digest"])
+    if maybe is not None:
+        chosen = own.where(~maybe).unionByName(chosen)
+    if "digest" in columns:
+        chosen = chosen.drop("digest").withColumnRenamed("__theirs", "digest")
+    return chosen.select(*columns).unionByName(docs.where("text is null"))

@@ -48,10 +48,9 @@ pairs AS (SELECT a.d AS a, b.d AS b, sum(least(a.weight, b.weight)) AS inside FR
 linked AS (SELECT a, b FROM pairs JOIN totals ta ON ta.d = a JOIN totals tb ON tb.d = b WHERE inside / (ta.total + tb.total - inside) >= {THRESHOLD} - 1e-9),
 edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (SELECT d AS a, d AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
-classes AS (SELECT a AS d, min(rep) AS class_id FROM reach JOIN nodes ON nodes.d = b GROUP BY a),
-degree AS (SELECT a AS d, count(*) AS links FROM edges GROUP BY a)
-SELECT doc_id, class_id, coalesce(links, 0) AS links, doc_id = class_id AS kept FROM words JOIN classes USING (d) LEFT JOIN degree USING (d)
-UNION ALL SELECT doc_id, doc_id, 0, true FROM documents WHERE text IS NULL"""
+classes AS (SELECT a AS d, min(rep) AS class_id FROM reach JOIN nodes ON nodes.d = b GROUP BY a)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM words JOIN classes USING (d)
+UNION ALL SELECT doc_id, doc_id, true FROM documents WHERE text IS NULL"""
 
 URLS = rf"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, rest FROM u),

@@ -67,7 +67,7 @@ def op9_weighted_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "links", "kept")
+    return found.select("doc_id", "class_id", "kept")
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,52 @@ def test_components(spark):
         groups.setdefault(label, set()).add(n)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5, 6, 7, 8, 9], [20, 21]]
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_classes(texts, threshold=N.THRESHOLD):
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        near = N.similarities(pa.array(texts[:i]), pa.array([texts[i]] * i), NONE) if i else []
+        for j in range(i):
+            if near[j] >= threshold:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited_copies(n, seed):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for _ in range(n):
+        share = rng.choice([0.0, 0.01, 0.03, 0.06, 0.1])
+        out.append(" ".join(w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in base))
+    return out
+
+
+def test_blocks_find_what_pairs_would(spark, monkeypatch):
+    texts = edited_copies(250, 4)
+    want = brute_classes(texts)
+    found = N._near_within(pa.array(texts), np.zeros(len(texts), np.int64), np.arange(len(texts)), NONE, N.THRESHOLD)
+    assert len(found) <= len(texts)
+    got = list(range(len(texts)))
+    for _ in texts:
+        for a, b in found:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == want
+
+
+def test_a_large_group_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
+    texts = edited_copies(250, 4)
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    # Others keep the copies' shingles rare, so that all have one weight.
+    rows += [(10_000 + i, " ".join(f"o{i}x{j}" for j in range(20)), "en", "a", 0) for i in range(26_000 // 100)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, rows), rare=1 + 1e-9).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
