@@ -30,7 +30,7 @@ RARE = 100
 #: Rows and bytes of texts that are compared with as many others in one task.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: 64-bit words of the filter that spares texts a join, and the keys up to which it is used.
-FILTER_WORDS, FILTER_KEYS = 1 << 16, 400_000
+FILTER_WORDS, FILTER_KEYS = 1 << 14, 100_000
 #: Documents over which a task looks for frequent shingles at a time.
 CHUNK_DOCS = 2000
 
