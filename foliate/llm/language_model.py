@@ -1,15 +1,16 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Every context has a restaurant whose customers are the words seen after it; the tables of all of them are the customers of
-one parent restaurant, whose base is uniform over the vocabulary and one unknown word. Seatings are sampled by Gibbs: each
-word's tables in a restaurant are drawn given all other tables, and the predictive probabilities of several samples are
-averaged. A context is the word before where that word makes up at least one of HOT tokens, else the class of its ending.
-So contexts are at most HOT + CLASSES + 1 in number, and the tables that each holds are all that must be told to everyone.
+Every word has a restaurant whose customers are the words seen after it. The tables of all restaurants of words with one
+ending are the customers of that class's restaurant, the tables of all classes those of the root, whose base is uniform over
+the vocabulary and one unknown word. Seatings are sampled by Gibbs: each word's tables in a restaurant are drawn given all
+other tables, and the predictive probabilities of several samples are averaged. Restaurants of words grow with the corpus;
+classes and root are bounded, and their counts are told to everyone.
 
 Words are dealt by hash: all customers who order one word, in any restaurant, and all places in texts where it is to be
-scored are in one task, which can therefore seat and score it without a model that is sent around. Hot words would be too
-much for a task; their counts are summed before they move, and their probabilities (at most HOT words by as many contexts
-as there are) are sent to the texts instead.
+scored are in one task, which can therefore seat and score it without a model that is sent around. A word's owner also sums
+the tables of its restaurant, which lie with the words after it, and answers each task that asks. Hot words as orders would
+be too much for a task: after a word that isn't hot they are with that word's owner, after a hot one their counts are summed
+before they move. Their seatings in classes and after hot words (at most HOT words by CLASSES, and by HOT) are told to all.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from .words import Batch, slices, split
 
 #: A word that makes up at least one of so many training tokens is hot.
 HOT = 1000
-#: Classes of the other words as contexts.
+#: Classes of words by their ending; the beginning of a text is one more.
 CLASSES = 1024
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 #: Documents that are numbered together, and places of words that are scored in one task.
@@ -43,11 +46,17 @@ SEED = 7151
 
 #: The end of a text: a name that no word's hash is likely to have.
 END = np.uint64(0xE5D0F7E87E5D0F7E)
+#: What comes before a text's first word. Contexts are named by the upper 48 bits of their word's hash.
+BEGIN = np.uint64(0xBE61F7E87E5D0F7E)
+KINDS = CLASSES + 1
 
 
 @dataclass(frozen=True)
 class State:
-    """What everyone knows: tokens N, vocabulary V, discounts, and by context its customers and tables; root's customers and tables."""
+    """What everyone knows: tokens N, vocabulary V, discounts, and by class its customers and tables; root's customers and tables.
+
+    d2 is the discount of words' restaurants, hot_customers and hot_tables are those of hot words' and the beginning's.
+    """
 
     tokens: int
     vocabulary: int
@@ -57,6 +66,9 @@ class State:
     tables: np.ndarray
     root_customers: float
     root_tables: float
+    d2: float = 0.5
+    hot_customers: np.ndarray | None = None
+    hot_tables: np.ndarray | None = None
 
 
 def _tokens(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,27 +97,44 @@ def _all_tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndar
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(text, held) to (word, n): how often each word and the end occur in texts that aren't held out."""
+    """(text, held) to (word, n, kind): how often each word and the end occur in texts that aren't held out, and the word's class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = batch.filter(pa.compute.invert(batch.column("held")))
-            tok, _, _ = _all_tokens(train, 0)
-            found, counts = np.unique(tok, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["word", "n"])
+            tok, _, ending = _all_tokens(train, 0)
+            found, at, counts = np.unique(tok, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts), pa.array(ending[at].astype(np.int16))], names=["word", "n", "kind"])
+
+    return docs.select("text", "held").mapInArrow(run, "word long, n long, kind short").groupBy("word").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
+
+
+def _names(x: np.ndarray) -> bytes:
+    """Names of contexts, six bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _read_names(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
 
-    return docs.select("text", "held").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _owner(name: np.ndarray, tasks: int) -> np.ndarray:
+    return ((name >> np.uint64(16)) * np.uint64(tasks)) >> np.uint64(32)
 
 
 def _number(docs: DataFrame, hot: np.ndarray, tasks: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Numbers tokens and writes them: a row a batch of texts with its hot words in order, and rows (task, batch) with its others."""
+    """Numbers tokens and writes them: a row a batch of texts with the hot words after hot ones in order, and rows (task,
+    batch) with the others: of kind 1 other words, each with the words before its places; of kind 2 other words, each with
+    the hot words after them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["kind", "task", "batch", "doc_id", "held", "a", "b", "c", "d"]
+    names = ["kind", "task", "batch", "doc_id", "held", "a", "b", "c", "d", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_, part, seq = shared.value, TaskContext.get().partitionId(), 0
-        none = len(hot_) + CLASSES  # the context at a text's beginning
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(start, BATCH_DOCS)
@@ -113,22 +142,26 @@ def _number(docs: DataFrame, hot: np.ndarray, tasks: int, path: str) -> tuple[Da
                 tok, doc, ending = _all_tokens(batch, 1)
                 at = np.minimum(np.searchsorted(hot_, tok), max(len(hot_) - 1, 0))
                 is_hot = hot_[at] == tok if len(hot_) else np.zeros(len(tok), bool)
-                context = np.empty(len(tok), np.int64)
-                context[1:] = np.where(is_hot, at, len(hot_) + ending)[:-1]
-                context[np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))] = none
-                context = context.astype(np.uint16)
+                before, before_kind, before_at, before_hot = (np.concatenate((x[:1], x[:-1])) for x in (tok, ending, at, is_hot))
+                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                before[first], before_kind[first], before_at[first], before_hot[first] = BEGIN, CLASSES, len(hot_), True
                 n = np.bincount(doc, minlength=batch.num_rows).astype(np.uint32)
-                n_hot = np.bincount(doc[is_hot], minlength=batch.num_rows).astype(np.uint32)
-                rows = [(0, 0, number, True, n.tobytes(), n_hot.tobytes(), at[is_hot].astype(np.uint16).tobytes(), context[is_hot].tobytes())]
-                other = np.flatnonzero(~is_hot)
-                other = other[np.argsort(tok[other], kind="stable")]
-                task = ((tok[other] >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)
-                cuts = np.searchsorted(task, np.arange(tasks + 1, dtype=np.uint64))
-                for r, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if s < e:
-                        own = other[s:e]
-                        word, count = np.unique(tok[own], return_counts=True)
-                        rows.append((1, r, number, False, word.tobytes(), count.astype(np.uint32).tobytes(), doc[own].astype(np.uint16).tobytes(), context[own].tobytes()))
+                near = is_hot & before_hot
+                n_hot = np.bincount(doc[near], minlength=batch.num_rows).astype(np.uint32)
+                rows = [(0, 0, number, True, n.tobytes(), n_hot.tobytes(), at[near].astype(np.uint16).tobytes(), before_at[near].astype(np.uint16).tobytes(), b"")]
+                for side, key, which in ((1, tok, ~is_hot), (2, before, is_hot & ~before_hot)):
+                    other = np.flatnonzero(which)
+                    other = other[np.argsort(key[other], kind="stable")]
+                    cuts = np.searchsorted(_owner(key[other] >> np.uint64(16), tasks), np.arange(tasks + 1, dtype=np.uint64))
+                    for r, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                        if s < e:
+                            own = other[s:e]
+                            word, head, count = np.unique(key[own], return_index=True, return_counts=True)
+                            if side == 1:
+                                d, more = before_kind[own], _names(before[own] >> np.uint64(16))
+                            else:
+                                d, more = at[own], before_kind[own[head]].astype(np.uint16).tobytes()
+                            rows.append((side, r, number, False, word.tobytes(), count.astype(np.uint32).tobytes(), doc[own].astype(np.uint16).tobytes(), d.astype(np.uint16).tobytes(), more))
                 ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows, *[batch.num_rows] * (len(rows) - 1)], pa.int32()), batch.column("doc_id"))
                 cols = list(zip(*rows, strict=True))
                 # The flags go with every row, as words of held-out texts are scored and not counted.
@@ -137,49 +170,81 @@ def _number(docs: DataFrame, hot: np.ndarray, tasks: int, path: str) -> tuple[Da
                     [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), ids, pa.array([flags] * len(rows), pa.binary()), *(pa.array(x, pa.binary()) for x in cols[4:])], names=names
                 )
 
-    schema = f"kind int, task int, batch long, doc_id array<{kind}>, held binary, a binary, b binary, c binary, d binary"
+    schema = f"kind int, task int, batch long, doc_id array<{kind}>, held binary, a binary, b binary, c binary, d binary, e binary"
     docs.select("doc_id", "text", "held").mapInArrow(run, schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     both = docs.sparkSession.read.schema(schema).parquet(path)
-    return both.where("kind = 0").drop("kind", "task"), both.where("kind = 1").drop("kind", "doc_id")
+    return both.where("kind = 0").drop("kind", "task", "e"), both.where("kind > 0").drop("doc_id")
 
 
 def _unpack(flags: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)
 
 
-PACKED = "task int, batches array<bigint>, words binary, pairs binary, context binary, seen binary, places binary, place binary"
+PACKED = "task int, batches array<bigint>, words binary, kinds binary, leaves binary, up binary, names binary, context binary, seen binary, places binary, place binary"
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Whether a place differs from the one before in any key."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
 
-def _gather(others: DataFrame) -> DataFrame:
-    """Brings the rows of a task together: its words, the pairs (word, context) of each, and the places of each pair.
+def _gather(others: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Brings the rows of a task together: its words, the pairs (word, class) of each, the pairs (word, context) of each of
+    those, and the places of each; then the pairs (context, hot word) of the contexts that it owns, and their places.
 
-    words: pairs of each word; pairs: nothing but its size; context, seen and places: context, training count and number of
-    places of each pair; place: for each place, the batch's index in batches and the text's in the batch, 16 bits each.
+    words: classes of each word; kinds: class of each of those pairs; leaves: contexts of each of those; up: place in the
+    table hot x KINDS of the pairs of hot words. context, seen and places: context, training count and number of places of
+    each pair. Contexts up to len(hot) are hot words and the beginning, those beyond stand in names. place: for each place,
+    the batch's index in batches and the text's in the batch, 16 bits each.
     """
+    shared = others.sparkSession.sparkContext.broadcast(hot)
 
     def run(table: pa.Table) -> pa.Table:
-        words, contexts, place, train = [], [], [], []
+        hot_ = shared.value >> np.uint64(16)
+        parts = {1: [], 2: []}
         for i, row in enumerate(table.to_batches(max_chunksize=1)):
-            word = np.frombuffer(row.column("a")[0].as_py(), np.uint64)
-            words.append(np.repeat(word, np.frombuffer(row.column("b")[0].as_py(), np.uint32)))
-            doc = np.frombuffer(row.column("c")[0].as_py(), np.uint16)
-            contexts.append(np.frombuffer(row.column("d")[0].as_py(), np.uint16))
+            side, get = row.column("kind")[0].as_py(), lambda name, t: np.frombuffer(row.column(name)[0].as_py(), t)  # noqa: B023
+            count, doc, d = get("b", np.uint32), get("c", np.uint16), get("d", np.uint16)
+            key = np.repeat(get("a", np.uint64), count)
             flags = row.column("held")[0].as_py()
-            train.append(~_unpack(flags, len(flags) * 8)[doc])
-            place.append(np.uint32(i) << np.uint32(16) | doc.astype(np.uint32))
-        word, context, where, counted = (np.concatenate(x) for x in (words, contexts, place, train))
-        order = np.lexsort((context, word))
-        word, context, where, counted = word[order], context[order], where[order], counted[order]
-        new_word = np.concatenate(([True], word[1:] != word[:-1]))
-        new_pair = new_word | np.concatenate(([True], context[1:] != context[:-1]))
-        starts = np.flatnonzero(new_pair)
-        seen = np.add.reduceat(counted.astype(np.int64), starts)
-        per_word = np.add.reduceat(new_pair.astype(np.int64), np.flatnonzero(new_word))
-        places = np.diff(np.concatenate((starts, [len(word)])))
-        blobs = (per_word.astype(np.uint32), np.zeros(0, np.uint32), context[starts], seen.astype(np.uint32), places.astype(np.uint32), where)
+            counted = ~_unpack(flags, len(flags) * 8)[doc]
+            where = np.uint32(i) << np.uint32(16) | doc.astype(np.uint32)
+            if side == 1:
+                parts[1].append((key, d, _read_names(row.column("e")[0].as_py()), where, counted))
+            else:
+                parts[2].append((d, np.repeat(get("e", np.uint16), count), key >> np.uint64(16), where, counted))
+        kinds = (np.uint64, np.uint16, np.uint64, np.uint32, bool)
+        a, b = ([np.concatenate(x) for x in zip(*parts[k], strict=True)] if parts[k] else [np.zeros(0, t) for t in kinds] for k in (1, 2))
+        at = np.minimum(np.searchsorted(hot_, a[2]), max(len(hot_) - 1, 0))
+        is_hot = hot_[at] == a[2] if len(hot_) else np.zeros(len(a[2]), bool)
+        begins = a[2] == BEGIN >> np.uint64(16)
+        known = is_hot | begins
+        names = np.unique(np.concatenate((a[2][~known], b[2])))
+        local = lambda x: np.searchsorted(names, x) + len(hot_) + 1
+        a[2] = np.where(begins, len(hot_), np.where(is_hot, at, local(a[2]))).astype(np.uint32)
+        b[2] = local(b[2]).astype(np.uint32)
+        a, b = ([x[order] for x in v] for v, order in ((a, np.lexsort((a[2], a[1], a[0]))), (b, np.lexsort((b[0], b[2])))))
+        by_word, by_kind, by_leaf = _runs(a[0]), _runs(a[0], a[1]), _runs(*a[:3])
+        hot_leaf = _runs(b[0], b[2])
+        add = lambda x, new: np.add.reduceat(x.astype(np.int64), np.flatnonzero(new)) if len(x) else np.zeros(0, np.int64)
+        blobs = (
+            add(by_kind, by_word).astype(np.uint32),
+            a[1][by_kind].astype(np.uint16),
+            add(by_leaf, by_kind).astype(np.uint32),
+            (b[0][hot_leaf].astype(np.int64) * KINDS + b[1][hot_leaf]).astype(np.uint32),
+            names,
+            np.concatenate((a[2][by_leaf], b[2][hot_leaf])),
+            np.concatenate((add(a[4], by_leaf), add(b[4], hot_leaf))).astype(np.uint32),
+            np.concatenate((add(np.ones(len(a[0])), by_leaf), add(np.ones(len(b[0])), hot_leaf))).astype(np.uint32),
+            np.concatenate((a[3], b[3])),
+        )
         return pa.table([pa.array([table["task"][0].as_py()], pa.int32()), pa.array([table["batch"].to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[f.split()[0] for f in PACKED.split(", ")])
 
-    packed = others.select("task", "batch", "held", "a", "b", "c", "d").groupBy("task").applyInArrow(run, PACKED)
+    packed = others.select("kind", "task", "batch", "held", "a", "b", "c", "d", "e").groupBy("task").applyInArrow(run, PACKED)
     path = fresh_path(others.sparkSession, "lm-words")
     packed.write.option("compression", "zstd").parquet(path)
     return others.sparkSession.read.schema(PACKED).parquet(path)
@@ -230,7 +295,7 @@ def sample_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, th
 
 @dataclass
 class Dishes:
-    """Words of one task: pairs [first[i], first[i+1]) are word i's; context, customers and tables of each pair."""
+    """Words in classes: pairs [first[i], first[i+1]) are word i's; context (the class), customers and tables of each pair."""
 
     first: np.ndarray
     context: np.ndarray
@@ -277,32 +342,159 @@ class Dishes:
         return (np.maximum(self.c - s.d1 * self.t, 0) + (CONCENTRATION + s.d1 * s.tables[u]) * p0) / (CONCENTRATION + s.customers[u])
 
 
-def _seat(d: Dishes, s: State, name: int, samples: int) -> np.ndarray:
-    """Burns in and returns the mean predictive probability of the samples."""
+@dataclass
+class Leaves:
+    """Words in words' restaurants: pair i is of context u[i], and its tables are customers of pair up[i] of dishes.
+
+    more: customers of dishes that come from elsewhere; None where the dishes themselves are seated elsewhere.
+    """
+
+    dishes: Dishes
+    up: np.ndarray
+    u: np.ndarray
+    c: np.ndarray
+    t: np.ndarray
+    more: np.ndarray | None
+
+    @classmethod
+    def fresh(cls, dishes: Dishes, up: np.ndarray, u: np.ndarray, seen: np.ndarray, more: np.ndarray | None) -> Leaves:
+        """One table for every pair that was seen."""
+        out = cls(dishes, up, u.astype(np.int64), seen.astype(np.int64), np.minimum(seen, 1).astype(np.int64), more)
+        out.settle()
+        return out
+
+    def settle(self) -> None:
+        """Tells the dishes their customers."""
+        if self.more is None:
+            return
+        d = self.dishes
+        d.c = np.bincount(self.up, self.t, minlength=len(d.context)).astype(np.int64) + self.more
+        d.t = np.clip(d.t, np.minimum(d.c, 1), d.c)
+        customers = d.of_words(d.t)
+        d.root = np.clip(d.root, np.minimum(customers, 1), customers)
+
+    def above(self, s: State, of: np.ndarray, own: np.ndarray | int) -> np.ndarray:
+        """The class's probability of the pairs' words without their own tables."""
+        d, up = self.dishes, self.up[of]
+        c = d.c[up] - own
+        t = np.minimum(d.t[up], c)
+        gone = d.t[up] - t
+        word, k = d.word_of()[up], d.context[up]
+        left = d.of_words(d.t)[word] - gone
+        p0 = d.root_probability(s, left, np.minimum(d.root[word], left))
+        return (np.maximum(c - s.d1 * t, 0) + (CONCENTRATION + s.d1 * np.maximum(s.tables[k] - gone, 0)) * p0) / (CONCENTRATION + np.maximum(s.customers[k] - own, 0))
+
+    def sweep(self, s: State, tables: np.ndarray, stirling: tuple[np.ndarray, ...], rng: np.random.Generator) -> None:
+        """Reseats every pair given the rest, then the classes and the root."""
+        multi = np.flatnonzero(self.c > 1)
+        own = self.t[multi]
+        others = np.maximum(tables[self.u[multi]] - own, 0)
+        self.t[multi] = sample_tables(self.c[multi], self.above(s, multi, own), others, s.d2, CONCENTRATION, stirling[2], rng)
+        if self.more is not None:
+            self.settle()
+            self.dishes.sweep(s, stirling, rng)
+
+    def predictive(self, s: State, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The probability of every pair's word after its context."""
+        p = self.above(s, np.arange(len(self.c)), 0)
+        return (np.maximum(self.c - s.d2 * self.t, 0) + (CONCENTRATION + s.d2 * tables[self.u]) * p) / (CONCENTRATION + customers[self.u])
+
+
+def _seat(leaves: Leaves, s: State, customers: np.ndarray, tables: np.ndarray, name: int, samples: int) -> np.ndarray:
+    """Burns in and returns the mean predictive probability of the samples; customers and tables are those of contexts."""
     rng = np.random.Generator(np.random.PCG64([SEED, name]))
-    stirling = (_log_stirling(s.d0), _log_stirling(s.d1))
+    stirling = (_log_stirling(s.d0), _log_stirling(s.d1), _log_stirling(s.d2))
     for _ in range(BURN_IN):
-        d.sweep(s, stirling, rng)
-    total = np.zeros(len(d.c))
+        leaves.sweep(s, tables, stirling, rng)
+    total = np.zeros(len(leaves.c))
     for _ in range(samples):
-        d.sweep(s, stirling, rng)
-        total += d.predictive(s)
+        leaves.sweep(s, tables, stirling, rng)
+        total += leaves.predictive(s, customers, tables)
     return total / max(samples, 1)
 
 
-def _dishes(row: pa.RecordBatch, i: int) -> tuple[Dishes, np.ndarray]:
+def _leaves(row: pa.RecordBatch, i: int, hot: Dishes | None) -> tuple[Leaves, Leaves | None]:
+    """A task's words, and the hot words after the words that it owns."""
     get = lambda name, kind: np.frombuffer(row.column(name)[i].as_py(), kind)
-    return Dishes.fresh(get("words", np.uint32), get("context", np.uint16), get("seen", np.uint32)), get("places", np.uint32)
-
+    per_kind, kinds, u, seen, up = get("leaves", np.uint32), get("kinds", np.uint16), get("context", np.uint32), get("seen", np.uint32), get("up", np.uint32)
+    n = len(u) - len(up)
+    own = Leaves.fresh(Dishes.fresh(get("words", np.uint32), kinds, np.zeros(len(kinds), np.int64)), np.repeat(np.arange(len(kinds)), per_kind), u[:n], seen[:n], np.zeros(len(kinds), np.int64))
+    d = own.dishes
+    d.t = np.minimum(d.c, 1)
+    d.root = np.minimum(d.of_words(d.t), 1)
+    return own, Leaves.fresh(hot, up.astype(np.int64), u[n:], seen[n:], None) if len(up) else None
+
+
+def _totals(d: Dishes, leaves: list[Leaves], n_hot: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is summed over tasks, in two columns: customers and tables of classes; of hot words and the beginning; the root's;
+    then counts that give the discounts of words' restaurants, classes and root."""
+    a, b = np.zeros(size), np.zeros(size)
+    a[:KINDS], b[:KINDS] = np.bincount(d.context, d.c, minlength=KINDS), np.bincount(d.context, d.t, minlength=KINDS)
+    at = KINDS + n_hot + 1
+    for x in leaves:
+        some = x.u <= n_hot
+        a[KINDS:at] += np.bincount(x.u[some], x.c[some], minlength=n_hot + 1)
+        b[KINDS:at] += np.bincount(x.u[some], x.t[some], minlength=n_hot + 1)
+        a[at + 1] += (x.c == 1).sum()
+        b[at + 1] += (x.c == 2).sum()
+    per_word = d.of_words((d.c > 0).astype(np.int64))
+    a[at], b[at] = d.t.sum(), d.root.sum()
+    a[at + 2], b[at + 2] = (d.c == 1).sum(), (d.c == 2).sum()
+    a[at + 3], b[at + 3] = (per_word == 1).sum(), (per_word == 2).sum()
+    return a, b
+
+
+SAID = "owner int, task int, name binary, t binary, c binary"
+
+
+def _say(task: int, owner: int, *blobs: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([task], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=[f.split()[0] for f in SAID.split(", ")])
+
+
+def _ask(task: int, names: np.ndarray, leaves: list[Leaves], n_hot: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """For each owner the names of a task's contexts, with the tables and customers that the task knows of each."""
+    t, c = np.zeros(len(names)), np.zeros(len(names))
+    for x in leaves:
+        some = x.u > n_hot
+        at = x.u[some] - n_hot - 1
+        t += np.bincount(at, x.t[some], minlength=len(names))
+        c += np.bincount(at, x.c[some], minlength=len(names))
+    cuts = np.searchsorted(_owner(names, tasks), np.arange(tasks + 1, dtype=np.uint64))
+    for owner, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if s < e:
+            yield _say(task, owner, _names(names[s:e]), t[s:e].astype(np.uint32).tobytes(), c[s:e].astype(np.uint32).tobytes())
+
+
+def _answer(asked: DataFrame) -> str:
+    """Sums tables and customers of each context over the tasks that ask for it; a folder of answers for each task."""
 
-def _table_counts(d: Dishes, contexts: int) -> pa.RecordBatch:
-    """Customers and tables by context; at contexts and beyond: the root's, and counts that give the discounts."""
-    customers = np.bincount(d.context, d.c, minlength=contexts)
-    tables = np.bincount(d.context, d.t, minlength=contexts)
-    ones = [(d.t.sum(), d.root.sum()), ((d.c == 1).sum(), (d.c == 2).sum()), ((w := d.of_words((d.c > 0).astype(np.int64))) == 1).sum(), (w == 2).sum()]
-    a = np.concatenate((customers, [ones[0][0], ones[1][0], ones[2]]))
-    b = np.concatenate((tables, [ones[0][1], ones[1][1], ones[3]]))
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["k", "a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        names = [_read_names(x) for x in table["name"].to_pylist()]
+        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        cuts, columns = np.cumsum([len(x) for x in names])[:-1], []
+        for column in ("t", "c"):
+            known = np.concatenate([np.frombuffer(x, np.uint32) for x in table[column].to_pylist()])
+            total = np.bincount(at, known)[at].astype(np.uint32)
+            columns.append(pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary()))
+        return pa.table([table["owner"], table["task"], *columns], names=["owner", "task", "t", "c"])
+
+    path = fresh_path(asked.sparkSession, "lm-answers")
+    answers = asked.groupBy("owner").applyInArrow(run, "owner int, task int, t binary, c binary")
+    answers.repartition("task").write.option("compression", "zstd").partitionBy("task").parquet(path)
+    return path
+
+
+def _contexts(path: str | None, task: int, s: State) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of a task's contexts."""
+    customers, tables = [s.hot_customers], [s.hot_tables]
+    if path is not None:
+        fs, where = pyarrow.fs.FileSystem.from_uri(path)
+        where = f"{where}/task={task}"
+        if fs.get_file_info(where).type != pyarrow.fs.FileType.NotFound:
+            rows = pq.read_table(where, columns=["owner", "t", "c"], filesystem=fs).sort_by("owner")
+            tables += [np.frombuffer(x, np.uint32) for x in rows["t"].to_pylist()]
+            customers += [np.frombuffer(x, np.uint32) for x in rows["c"].to_pylist()]
+    return np.concatenate(customers).astype(float), np.concatenate(tables).astype(float)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -324,11 +516,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot_rows.sort(key=lambda r: np.int64(r[0]).view(np.uint64))
     hot = np.array([r[0] for r in hot_rows], np.int64).view(np.uint64)
     hot_count = np.array([r[1] for r in hot_rows], np.int64)
-    contexts = len(hot) + CLASSES + 1
+    hot_kind = np.array([*(r[2] for r in hot_rows), CLASSES], np.int64)
+    n_hot, contexts = len(hot), len(hot) + 1
     rare_tokens = tokens - int(hot_count.sum())
-    tasks = max(1, -(-int(rare_tokens * 1.2) // TASK_PLACES))
+    # Places of other words, and of hot words after other words, of which there are no more than of either.
+    tasks = max(1, -(-int((rare_tokens + min(rare_tokens, tokens - rare_tokens)) * 1.2) // TASK_PLACES))
     batches, others = _number(docs, hot, tasks, fresh_path(spark, "lm-tokens"))
-    packed = _gather(others)
+    packed = _gather(others, hot)
 
     # Hot words: counts by (word, context), summed where they are before they move; together a bounded table.
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,50 +537,86 @@ def score_documents(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["pair", "n"])
 
     hot_pairs = batches.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow() if len(hot) else None
-    hot_dishes = None
-    if hot_pairs is not None and hot_pairs.num_rows:
-        grid = np.zeros(len(hot) * contexts, np.int64)
+    # Hot words in classes, and after hot words and the beginning; customers from all other contexts are added in each round.
+    hot_leaves, from_others = None, np.zeros(n_hot * KINDS, np.int64)
+    if hot_pairs is not None:
+        grid = np.zeros(n_hot * contexts, np.int64)
         grid[hot_pairs["pair"].to_numpy()] = hot_pairs["n"].to_numpy()
-        every = np.tile(np.arange(contexts), len(hot))
-        hot_dishes = lambda: Dishes.fresh(np.full(len(hot), contexts), every, grid)
+        above = np.repeat(np.arange(n_hot) * KINDS, contexts) + np.tile(hot_kind, n_hot)
+        every = lambda: Dishes.fresh(np.full(n_hot, KINDS), np.tile(np.arange(KINDS), n_hot), np.zeros(n_hot * KINDS, np.int64))
+        hot_leaves = lambda: Leaves.fresh(every(), above, np.tile(np.arange(contexts), n_hot), grid, from_others)
 
-    state = State(tokens, vocabulary, 0.5, 0.5, np.zeros(contexts), np.zeros(contexts), 0.0, 0.0)
+    state = State(tokens, vocabulary, 0.5, 0.5, np.zeros(KINDS), np.zeros(KINDS), 0.0, 0.0, 0.5, np.zeros(contexts), np.zeros(contexts))
+    size = KINDS + contexts + 4
+    answers = None
     for round_ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(state)
+        own = hot_leaves() if hot_leaves is not None else None
+        if own is not None and round_:
+            _seat(own, state, state.hot_customers, state.hot_tables, 0, 0)
+        now = spark.sparkContext.broadcast((state, own.dishes if own is not None else None, answers))
 
         def seat(rows: Iterator[pa.RecordBatch], now=now, round_=round_) -> Iterator[pa.RecordBatch]:
+            s, hot_dishes, told = now.value
             for row in rows:
                 for i in range(row.num_rows):
-                    d, _ = _dishes(row, i)
+                    task = row.column("task")[i].as_py()
+                    both = [x for x in _leaves(row, i, hot_dishes) if x is not None]
                     if round_:
-                        _seat(d, now.value, row.column("task")[i].as_py() + 1, 0)
-                    yield _table_counts(d, contexts)
-
-        told = packed.mapInArrow(seat, "k long, a long, b long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-        a, b = np.zeros(contexts + 3), np.zeros(contexts + 3)
+                        customers, tables = _contexts(told, task, s)
+                        for part, x in enumerate(both):
+                            _seat(x, s, customers, tables, 2 * task + part + 1, 0)
+                    a, b = _totals(both[0].dishes, both, n_hot, size)
+                    if len(both) > 1:
+                        up = np.bincount(both[1].up, both[1].t, minlength=n_hot * KINDS)
+                        a, b = np.concatenate((a, up)), np.concatenate((b, np.zeros(len(up))))
+                    some = np.flatnonzero((a > 0) | (b > 0))
+                    yield _say(task, -1, some.tobytes(), a[some].astype(np.int64).tobytes(), b[some].astype(np.int64).tobytes())
+                    yield from _ask(task, np.frombuffer(row.column("names")[i].as_py(), np.uint64), both, n_hot, tasks)
+
+        def numbers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows:
+                for i in range(row.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row.column(f)[i].as_py(), np.int64)) for f in ("name", "t", "c")], names=["k", "a", "b"])
+
+        path = fresh_path(spark, "lm-said")
+        packed.mapInArrow(seat, SAID).write.option("compression", "zstd").parquet(path)
+        said = spark.read.schema(SAID).parquet(path)
+        told = said.where("owner < 0").mapInArrow(numbers, "k long, a long, b long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+        answers = _answer(said.where("owner >= 0"))
+        a, b = np.zeros(size + n_hot * KINDS), np.zeros(size + n_hot * KINDS)
         a[told["k"].to_numpy()], b[told["k"].to_numpy()] = told["a"].to_numpy(), told["b"].to_numpy()
-        if hot_dishes is not None:
-            d = hot_dishes()
-            if round_:
-                _seat(d, state, 0, 0)
-            own = _table_counts(d, contexts)
-            a, b = a + own.column("a").to_numpy(), b + own.column("b").to_numpy()
-        discount = lambda one, two, before: float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else before
-        d1 = discount(a[contexts + 1], b[contexts + 1], state.d1)
-        d0 = discount(a[contexts + 2], b[contexts + 2], state.d0)
-        state = State(tokens, vocabulary, d0, d1, a[:contexts], b[:contexts], a[contexts], b[contexts])
-
-    final = spark.sparkContext.broadcast(state)
+        from_others = a[size:].astype(np.int64)
+        a, b = a[:size], b[:size]
+        if own is not None:
+            own.more = from_others
+            own.settle()
+            more = _totals(own.dishes, [own], n_hot, size)
+            a, b = a + more[0], b + more[1]
+        discount = lambda i, before: float(np.clip(a[i] / (a[i] + 2 * b[i]), 0.05, 0.95)) if a[i] + b[i] else before  # noqa: B023, E731
+        at = KINDS + contexts
+        state = State(tokens, vocabulary, discount(at + 3, state.d0), discount(at + 2, state.d1), a[:KINDS], b[:KINDS], a[at], b[at], discount(at + 1, state.d2), a[KINDS:at], b[KINDS:at])
+
+    own, table = hot_leaves() if hot_leaves is not None else None, np.zeros((n_hot, contexts))
+    if own is not None:
+        table = np.log10(_seat(own, state, state.hot_customers, state.hot_tables, 0, SAMPLES)).reshape(table.shape)
+    final = spark.sparkContext.broadcast((state, own.dishes if own is not None else None, answers))
     base = lambda c: np.log10((c + 1.0) / (tokens + vocabulary + 1.0))
     result = "batch long, at binary, score binary, base binary, known binary"
     names = [x.split()[0] for x in result.split(", ")]
 
     def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s_, hot_dishes, told = final.value
         for row in rows:
             for i in range(row.num_rows):
-                d, places = _dishes(row, i)
-                log_p = np.log10(_seat(d, final.value, row.column("task")[i].as_py() + 1, SAMPLES))
-                c = d.of_words(d.c)[d.word_of()]
+                task = row.column("task")[i].as_py()
+                customers, tables = _contexts(told, task, s_)
+                both = [x for x in _leaves(row, i, hot_dishes) if x is not None]
+                log_p = np.log10(np.concatenate([_seat(x, s_, customers, tables, 2 * task + part + 1, SAMPLES) for part, x in enumerate(both)]))
+                words = both[0].dishes.word_of()[both[0].up]
+                c = np.bincount(words, both[0].c)[words] if len(words) else np.zeros(0)
+                if len(both) > 1:
+                    c = np.concatenate((c, hot_count[both[1].up // KINDS]))
+                places = np.frombuffer(row.column("places")[i].as_py(), np.uint32)
                 place = np.frombuffer(row.column("place")[i].as_py(), np.uint32).astype(np.int64)
                 pair = np.repeat(np.arange(len(places)), places)
                 used, at = np.unique(place, return_inverse=True)
@@ -398,9 +628,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
                         blobs = ((used[s:e] & 0xFFFF).astype(np.uint16), sums[0][s:e], sums[1][s:e], sums[2][s:e].astype(np.uint32))
                         yield pa.RecordBatch.from_arrays([pa.array([numbers[k]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=names)
 
-    table = np.zeros((len(hot), contexts))
-    if hot_dishes is not None:
-        table = np.log10(_seat(hot_dishes(), state, 0, SAMPLES)).reshape(table.shape)
     table = spark.sparkContext.broadcast(table)
 
     def finish(rows: pa.Table, texts: pa.Table) -> pa.Table:

@@ -108,3 +108,12 @@ def test_reruns_agree(spark):
 def test_stirling_numbers_of_an_empty_discount():
     s = L._log_stirling(0.0, 6)
     assert [round(math.exp(x)) for x in s[5, 1:6]] == [24, 50, 35, 10, 1]
+
+
+def test_rare_words_have_contexts_of_their_own(spark):
+    # Every word is rarer than one of HOT tokens and all end alike, so that one class holds them: only the word itself tells
+    # what follows.
+    n = 1500
+    rows = [(i, " ".join(f"w{(i * 7 + j) % n:04d}xx" for j in range(40)), "en", "a", 0) for i in range(1400)]
+    got = [r for r in L.score_documents(frame(spark, rows)).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
