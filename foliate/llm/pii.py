@@ -188,7 +188,7 @@ _FIND = re.compile(
     r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?!\w)"
     r"|(?<!\w)(?P<access_key>A(?:KIA|SIA)[A-Z0-9]{16})(?!\w)"
-    r"|(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,}))"
+    r"|(?i:(?<![A-Za-z0-9])(?:token|password|passwd|secret|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,}))"
     rf"|\b(?:{_PERSON})\.? (?P<names>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)"
 )
 #: Cheap: a text without any of these has nothing that _FIND finds.
@@ -203,13 +203,32 @@ class Mention:
     original: str
 
 
+def _valid(kind: str, value: str) -> str | None:
+    """The canonical form of a card or an IBAN, None if its length or check digits are wrong."""
+    original = re.sub(r"[^0-9a-z]", "", value.lower())
+    if kind == "card":
+        return original if 13 <= len(original) <= 19 and luhn_digit(original[:-1]) == original[-1] else None
+    if not 15 <= len(original) <= 34 or int("".join(str(int(c, 36)) for c in original[4:] + original[:4])) % 97 != 1:
+        return None
+    return original[:4].upper() + original[4:]
+
+
+def _longest_valid(kind: str, value: str) -> tuple[str, str | None]:
+    """The longest start of a card's or IBAN's match that ends at a separator or with the match and is valid, and its
+    canonical form: the patterns take in an expiry date or a word that follows."""
+    for end in (len(value), *(m.start() for m in reversed(list(re.finditer("[ -]", value))))):
+        if original := _valid(kind, value[:end]):
+            return value[:end], original
+    return value, None
+
+
 def find(text: str) -> list[Mention]:
     """The mentions in a text, in order."""
     if not _MAYBE.search(text):
         return []
-    out = []
-    for m in _FIND.finditer(text):
-        kind = m.lastgroup
+    out, after = [], 0
+    while m := _FIND.search(text, after):
+        after, kind = m.end(), m.lastgroup
         if m["names"]:
             gender = "f" if m["f"] else "m"
             parts = list(re.finditer(r"\S+", m["names"]))
@@ -219,15 +238,14 @@ def find(text: str) -> list[Mention]:
                 out.append(Mention(at, at + len(p[0]), "given_name" if first else "surname", (f"{gender}:" if first else "") + p[0].lower()))
             continue
         value, original = m[kind], m[kind].lower()
-        if kind in ("card", "iban", "phone"):
-            original = re.sub(r"[^0-9a-z+]", "", original)
-        if kind == "card" and luhn_digit(original[:-1]) != original[-1]:
-            continue
-        if kind == "iban":
-            original = original.upper()
-            if int("".join(str(int(c, 36)) for c in original[4:] + original[:4])) % 97 != 1:
+        if kind in ("card", "iban"):
+            value, original = _longest_valid(kind, value)
+            # What isn't one, or follows it in the match, may hold others.
+            after = m.start() + (len(value) if original else 1)
+            if not original:
                 continue
-            original = original[:4] + original[4:].lower()
+        if kind == "phone":
+            original = re.sub(r"[^0-9a-z+]", "", original)
         if kind == "ip" and any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in original.split(".")):
             continue
         out.append(Mention(m.start(kind), m.start(kind) + len(value), kind, original))

@@ -62,3 +62,22 @@ def test_clashes_are_rekeyed(spark):
     changed = {r.original: r.attempt for r in pii.rekeyed(found).collect()}
     assert changed[first] >= 1 and "+15550000002" not in changed
     assert pii.surrogate("phone", first, changed[first]) != pii.surrogate("phone", first)
+
+
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("pay 4111 1111 1111 1111 12/27 now", "card", "4111 1111 1111 1111"),
+        ("4111111111111111 123", "card", "4111111111111111"),
+        ("no 12 4111-1111-1111-1111", "card", "4111-1111-1111-1111"),
+        ("DE89370400440532013000 BIC COBADEFF", "iban", "DE89370400440532013000"),
+        ("DE89 3704 0044 0532 0130 00 4111 1111 1111 1111", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("DE89 3704 0044 0532 0130 00 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("XX00 0000 0000 0000 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("access_token=abcdefgh12345678", "secret", "abcdefgh12345678"),
+        ("DB_PASSWORD=hunter2hunter2", "secret", "hunter2hunter2"),
+    ],
+)
+def test_what_follows_does_not_hide_an_entity(text, kind, value):
+    assert (kind, value) in [(m.kind, text[m.start : m.end]) for m in pii.find(text)]
+    assert value not in pii.replace(text)[0]
