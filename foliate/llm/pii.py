@@ -4,7 +4,8 @@ Detected entities are replaced by others of their kind: keyed, so that nobody wi
 mention of an entity in the corpus, and in the mention's own notation. Numbers, keys and letters go through keyed
 permutations of all strings of their format, which keep different entities different by construction; card numbers keep a
 valid check digit, addresses stay addresses, given names keep gender and script. What a permutation can't promise (a value
-that maps to itself, two given names that share one of a list) a check over all entities of the corpus finds and re-keys.
+that maps to itself, two given names that share one of a list) a check over all entities of the corpus finds and re-keys:
+the first of a list's name keeps it, other given names get letters of their script.
 """
 
 from __future__ import annotations
@@ -151,13 +152,35 @@ def _script(x: str) -> str:
     return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
 
 
+def _draw(x: str, tag: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{tag}\0{x}".encode(), key=KEY, digest_size=32).digest(), "big")
+
+
+def _drawn_name(x: str, tag: str) -> str:
+    """Twelve letters of the name's script, drawn by a keyed hash: for names of other letters, or of a format that is full."""
+    script, number, out = _script(x), _draw(x, tag), []
+    for i in range(12):
+        letters = (CONSONANTS, VOWELS)[i % 2][script]
+        out.append(letters[number % len(letters)])
+        number //= len(letters)
+    return "".join(out)
+
+
+def _drawn_ip(x: str, tag: str) -> str:
+    number = _draw(x, tag)
+    return ".".join(str(100 + (number >> 32 * i) % 156) for i in range(4))
+
+
 def _surname(x: str, tag: str) -> str:
     script = _script(x)
-    return permute_letters(x, [next((a for a in (VOWELS[script], CONSONANTS[script]) if c in a), "") for c in x], tag)
+    alphabets = [next((a for a in (VOWELS[script], CONSONANTS[script]) if c in a), "") for c in x]
+    return permute_letters(x, alphabets, tag) if any(alphabets) else _drawn_name(x, tag)
 
 
 def _given(x: str, tag: str) -> str:
     gender, _, name = x.partition(":")
+    if "/" in tag:  # another has the list's name
+        return f"{gender}:{_surname(name, tag)}"
     names = GIVEN[_script(name), gender]
     return f"{gender}:{names[_prf(tag, int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), 'big'), 32) % len(names)].lower()}"
 
@@ -178,6 +201,13 @@ SURROGATES: dict[str, Callable[[str, str], str]] = {
     "surname": _surname,
     "given_name": _given,
 }
+#: Surrogates in another format, where the entity's own leaves none after MAX_ATTEMPTS: formats that can be short.
+SPARE: dict[str, Callable[[str, str], str]] = {
+    "email": lambda x, tag: f"{_drawn_name('a', tag + x)}@{_email(x, tag).rpartition('@')[2]}",
+    "ip": _drawn_ip,
+    "surname": _drawn_name,
+    "given_name": lambda x, tag: f"{x[:2]}{_drawn_name(x[2:], tag)}",
+}
 
 _PERSON = "|".join(f"(?P<{g}>{t})" for g, t in TITLES.items())
 _FIND = re.compile(
@@ -255,7 +285,8 @@ def find(text: str) -> list[Mention]:
 @functools.lru_cache(100_000)
 def surrogate(kind: str, original: str, attempt: int = 0) -> str:
     """The surrogate of a canonical form; attempts past 0 are other keys."""
-    return SURROGATES[kind](original, f"{kind}/{attempt}" if attempt else kind)
+    how = SPARE.get(kind, SURROGATES[kind]) if attempt >= MAX_ATTEMPTS else SURROGATES[kind]
+    return how(original, f"{kind}/{attempt}" if attempt else kind)
 
 
 def _notation(mention: str, kind: str, new: str) -> str:
@@ -298,8 +329,9 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def rekeyed(found: DataFrame) -> DataFrame:
     """(kind, original, attempt) of the entities whose first surrogate won't do: it is the entity itself or another one of
-    the corpus, or another entity has it too. Of those that share one, the first keeps it. Given names share those of a
-    list by design, as people do; for them only the name itself is ruled out.
+    the corpus, or another entity has it too. Of those that share one, the first keeps it. Given names may be those of
+    others in the corpus, as people's are; no two get the same one. What is left after the last attempt, in another format,
+    is an error.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,13 +342,16 @@ def rekeyed(found: DataFrame) -> DataFrame:
     schema = "kind string, original string, attempt int, surrogate string"
     now = stash(found.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "pii-surrogates")
     originals = found.select("kind", F.col("original").alias("surrogate"))
-    for _ in range(MAX_ATTEMPTS):
-        shared = now.where("kind <> 'given_name'").groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min_by("original", F.struct("attempt", "original")).alias("first")).where("n > 1")
+    for done in range(MAX_ATTEMPTS + 1):
+        shared = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min_by("original", F.struct("attempt", "original")).alias("first")).where("n > 1")
         clash = now.join(shared, ["kind", "surrogate"]).where("original <> first").select("kind", "original")
         leaks = now.where("kind <> 'given_name' or original = surrogate").join(originals, ["kind", "surrogate"], "left_semi").select("kind", "original")
         again = stash(clash.unionByName(leaks).distinct(), "pii-clashes")
         if again.isEmpty():
             break
+        if done == MAX_ATTEMPTS:
+            left = ", ".join(f"{r[0]}: {r[1]}" for r in again.groupBy("kind").count().orderBy("kind").collect())
+            raise ValueError(f"entities without a surrogate of their own: {left}")
         better = now.join(again, ["kind", "original"]).withColumn("attempt", F.col("attempt") + 1).select("kind", "original", "attempt").mapInArrow(draw, schema)
         now = stash(now.join(again, ["kind", "original"], "left_anti").unionByName(better), "pii-surrogates")
     return now.where("attempt > 0").select("kind", "original", "attempt")

@@ -81,3 +81,29 @@ def test_clashes_are_rekeyed(spark):
 def test_what_follows_does_not_hide_an_entity(text, kind, value):
     assert (kind, value) in [(m.kind, text[m.start : m.end]) for m in pii.find(text)]
     assert value not in pii.replace(text)[0]
+
+
+def test_people_stay_different(spark):
+    # More given names than the list has, with one surname.
+    people = [f"Mr. {c}{v}{d}o Smith" for c in "BDFGKLMN" for v in "aeiou" for d in "rt"]
+    people += ["κύριος Ωμοσ Σμιθ", "Mr. 李明", "Mr. 王芳"]
+    docs = frame(spark, [(i, p, "en", "a", 0) for i, p in enumerate(people)])
+    new = [r.text for r in pii.pseudonymise(docs).collect()]
+    assert len(set(new)) == len(people) and not set(new) & set(people)
+    assert len({t.split()[-1] for t in new if t.startswith("Mr.") and len(t.split()) == 3}) == 1
+
+
+def test_full_formats_get_another(spark):
+    # All one-letter addresses of a domain that is kept: none is left for them.
+    mails = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = spark.createDataFrame([("email", x) for x in mails], "kind string, original string")
+    new = {pii.surrogate("email", r.original, r.attempt) for r in pii.rekeyed(found).collect()}
+    assert len(new) == 26 and not new & set(mails)
+
+
+def test_what_has_no_surrogate_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 1)
+    rows = spark.createDataFrame([("phone", "none")], "kind string, original string")
+    monkeypatch.setattr(pii, "surrogate", lambda kind, original, attempt=0: original)
+    with pytest.raises(ValueError, match="phone: 1"):
+        pii.rekeyed(rows)
