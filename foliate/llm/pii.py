@@ -222,7 +222,7 @@ _FIND = re.compile(
     rf"|\b(?:{_PERSON})\.? (?P<names>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)"
 )
 #: Cheap: a text without any of these has nothing that _FIND finds.
-_MAYBE = re.compile(rf"\d\d|@|AKIA|ASIA|\b(?:{'|'.join(TITLES.values())})\b|(?i:token|password|passwd|secret|api[_-]?key)")
+_MAYBE = re.compile(rf"\d[ .-]?\d|@|AKIA|ASIA|\b(?:{'|'.join(TITLES.values())})\b|(?i:token|password|passwd|secret|api[_-]?key)")
 
 
 @dataclass(frozen=True)
