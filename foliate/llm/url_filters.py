@@ -136,13 +136,16 @@ def filter_urls(pages: DataFrame, allow: tuple = ALLOW_RULES, block: tuple = BLO
     domain_levels = build_cascade(universe.select("key", F.col("is_domain").alias("listed")), max_words=max_words)
 
     keys = _keys(lengths)
-    fitting = F.filter(keys, lambda k: listed(k, rule_levels)) if rule_levels else F.array().cast("array<string>")
+    if rule_levels is None:  # too many keys that aren't rules pass level 1: the same exact answer from the rules themselves
+        fitting = F.filter(keys, lambda k: k.isin(list(rules)))
+    else:
+        fitting = F.filter(keys, lambda k: listed(k, rule_levels)) if rule_levels else F.array().cast("array<string>")
     rule = F.get(fitting, 0)
     bare = _keys([0])
     if domain_levels is None:  # too many listed domains to send: the same exact answer from a join
-        hosts = distinct.select("__host").distinct().select(F.col("__host").alias("h"), F.explode(bare).alias("k"))
-        bad = hosts.join(lists, F.col("k") == F.col("listed_key")).select("h").distinct().withColumn("__bad", F.lit(True))
-        base = base.join(bad, F.col("__host") == F.col("h"), "left").drop("h").withColumn("__bad", F.coalesce("__bad", F.lit(False)))
+        hosts = distinct.select("__host").distinct().withColumn("__path", F.lit("")).select(F.col("__host").alias("__h"), F.explode(bare).alias("__k"))
+        bad = hosts.join(lists, F.col("__k") == F.col("listed_key")).select("__h").distinct().withColumn("__bad", F.lit(True))
+        base = base.join(bad, F.col("__host") == F.col("__h"), "left").drop("__h").withColumn("__bad", F.coalesce("__bad", F.lit(False)))
     else:
         base = base.withColumn("__bad", F.exists(bare, lambda k: listed(k, domain_levels)) if domain_levels else F.lit(False))
     verdict = F.when(F.col("__rule").isNotNull(), F.element_at(F.create_map(*[F.lit(x) for kv in (rules or {"": ""}).items() for x in kv]), F.col("__rule"))).otherwise(F.when(F.col("__bad"), "block").otherwise("allow"))

@@ -53,3 +53,9 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(levels) > 1
     assert keys.where(U.listed(F.col("key"), levels) != F.col("listed")).count() == 0
     assert U.build_cascade(keys, max_words=1) is None
+
+
+def test_rules_and_domains_beyond_the_filters(spark):
+    got = U.filter_urls(rows(spark, URLS).withColumn("h", U.F.lit(1)), max_words=0)
+    out = {r.page_id: (r["__host"], r["__path"], r["__rule"], r["__verdict"]) for r in got.collect()}
+    assert out == {i: brute(u) for i, u in enumerate(URLS)} and "h" in got.columns
