@@ -153,7 +153,7 @@ def convert(arc: str, data: bytes, revisits: dict[int, tuple[int, str, int, str]
         url, date = r.fields["URL"], warc_date(r.fields["Archive-date"])
         digest = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
         common = [("WARC-Record-ID", f"<{record_id(arc, r.offset)}>"), ("WARC-Date", date)]
-        if url.startswith("filedesc://"):
+        if r.offset == 0 and url.startswith("filedesc://"):
             out += warc_record([("WARC-Type", "warcinfo"), *common, ("WARC-Filename", arc.replace(".arc", ".warc")), ("Content-Type", "application/warc-fields")], b"software: foliate\r\nformat: WARC File Format 1.1\r\n")
             continue
         _, head, payload = _http(r.content)
@@ -224,7 +224,7 @@ def index_arcs(files: DataFrame, folder: str) -> DataFrame:
             for arc in batch.column("arc").to_pylist():
                 rows = []
                 for r in read_arc(_get(f"{folder}/arc/{arc}")):
-                    if not r.fields["URL"].startswith("filedesc://"):
+                    if r.offset or not r.fields["URL"].startswith("filedesc://"):
                         fields, _, payload = _http(r.content)
                         page = fields.get("X-Page-Id")
                         rows.append({"arc": arc, "offset": r.offset, "page_id": int(page) if page else None, "url": r.fields["URL"].encode("utf-8", "replace").decode(), "n": len(payload), "digest": hashlib.sha256(payload).digest()})

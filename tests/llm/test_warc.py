@@ -80,3 +80,10 @@ def test_members_of_any_size():
     blocks = [rng.randbytes(rng.choice([0, 1, 100, 40_000, 70_000])) for _ in range(30)]
     data = b"".join(map(A._member, blocks))
     assert [c for _, c in A.members(data)] == blocks
+
+
+def test_pages_with_a_description_s_url(spark):
+    rows = [(1, "filedesc://page", "one"), (2, "http://a/", "two"), (3, "filedesc://page", "three")]
+    frame = spark.createDataFrame([(*r, None, None) for r in rows], PAGES)
+    got = A.archive_round_trip(frame).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == sorted(want(rows))
