@@ -2,6 +2,8 @@
 
 White space separates everything in this kind of tokenizer, so texts are cut there and every different string is encoded
 once. Common strings are merged side by side as rows of a matrix; whatever isn't plainly Latin goes to the library itself.
+Known strings are found by their 64-bit hashes in a table of arrays whose size is bounded in bytes, so a worker can keep it
+from task to task.
 """
 
 from __future__ import annotations
@@ -10,10 +12,16 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Strings whose ids a worker remembers.
-CACHE_STRINGS = 500_000
+from .words import split
+
+#: Slots of the table of strings whose ids a worker remembers, at most half of them used, and the ids that they take at
+#: most: together some 40 megabytes.
+SLOTS, MOST_IDS = 1 << 20, 4 << 20
+#: Pieces of strings remembered while new strings are learnt.
+MOST_CUTS = 50_000
 #: Bytes of the longest string that is merged here.
 LONGEST = 48
 NONE = np.int32(2**31 - 1)
@@ -35,8 +43,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.cuts: dict[str, bytes] = {}
+        self.forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -128,38 +136,112 @@ class WordEncoder:
                 out[k] = packed[s:e]
         return out
 
-    def _learn(self, strings: set[bytes]) -> None:
+    def _ids(self, strings: list[bytes]) -> list[bytes]:
+        """The ids of different strings without white space."""
+        out: list[bytes] = [b""] * len(strings)
         by_library, cut = [], {}
-        for w in strings:
+        for i, w in enumerate(strings):
             text = w.decode()
             if self.merges_here and _LATIN.fullmatch(text) and "<|" not in text:
-                cut[w] = _CUT.findall(text.lower())
+                cut[i] = _CUT.findall(text.lower())
             else:
-                by_library.append(w)
+                by_library.append(i)
         fresh = list({c for parts in cut.values() for c in parts if c not in self.cuts})
         raw = [c.encode() for c in fresh]
         short = [i for i, r in enumerate(raw) if len(r) <= LONGEST]
         self.cuts.update(zip((fresh[i] for i in short), self._merge([raw[i] for i in short]), strict=True))
-        for w, parts in cut.items():
+        for i, parts in cut.items():
             if all(c in self.cuts for c in parts):
-                self.known[w] = b"".join([self.cuts[c] for c in parts])
+                out[i] = b"".join([self.cuts[c] for c in parts])
             else:
-                by_library.append(w)
-        for w in by_library:
-            ids = self.library.encode(w.decode(), add_special_tokens=False).ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
+                by_library.append(i)
+        for i in by_library:
+            out[i] = np.array(self.library.encode(strings[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.cuts) > MOST_CUTS:
+            self.cuts = {}
+        return out
 
     def forget(self) -> None:
-        self.known, self.cuts = {}, {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        if len(self.known) > CACHE_STRINGS:
-            self.forget()
-        missing = set().union(*parts) - self.known.keys() if parts else set()
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        """Empties the table of known strings."""
+        self.names = np.zeros(SLOTS, np.uint64)
+        self.where = np.full(SLOTS, -1, np.int32)
+        self.used = 0
+        self.store = np.zeros(1 << 16, "<u4")
+        self.filled = 0
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash its number, or -1; and the slot where the search ended."""
+        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        number = self.where[slot]
+        found = np.where(self.names[slot] == hashes, number, -1)
+        going = np.flatnonzero((found < 0) & (number >= 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & (SLOTS - 1)
+            at = slot[going]
+            number = self.where[at]
+            hit = (number >= 0) & (self.names[at] == hashes[going])
+            found[going[hit]] = number[hit]
+            going = going[~hit & (number >= 0)]
+        return found, slot
+
+    def _add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Puts different, unknown hashes and their ids into the table."""
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        total = int(size.sum())
+        if self.filled + total > len(self.store):
+            self.store = np.concatenate((self.store[: self.filled], np.zeros(max(total, self.filled), "<u4")))
+        self.store[self.filled : self.filled + total] = np.frombuffer(b"".join(ids), "<u4")
+        n = self.used
+        if n + len(ids) > len(self.begin):
+            more = np.zeros(max(len(ids), n), np.int64)
+            self.begin, self.size = np.concatenate((self.begin[:n], more)), np.concatenate((self.size[:n], more))
+        self.begin[n : n + len(ids)] = self.filled + np.cumsum(size) - size
+        self.size[n : n + len(ids)] = size
+        self.filled, self.used = self.filled + total, n + len(ids)
+        # Those that end at one free slot take it in turn: the last one written has it, the others search again.
+        left, number = np.arange(len(ids)), np.arange(n, n + len(ids), dtype=np.int32)
+        while len(left):
+            _, slot = self._find(hashes[left])
+            self.where[slot], self.names[slot] = number[left], hashes[left]
+            left = left[self.where[slot] != number[left]]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each text's followed by `end` if given, and the texts' bounds in them."""
+        b = split(texts)
+        hashes, n = b.hashes(), len(b.bounds) - 1
+        found, _ = self._find(hashes)
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            fresh, first = np.unique(hashes[unknown], return_index=True)
+            if self.used + len(fresh) > SLOTS // 2 or self.filled > MOST_IDS:
+                self.forget()
+                fresh, first = np.unique(hashes, return_index=True)
+                unknown = np.arange(len(hashes))
+            # A batch may hold more strings than the table; then each part of it is encoded by itself.
+            if len(fresh) > SLOTS // 2:
+                middle = n // 2
+                if n < 2:
+                    return self._encode_plain(texts, end)
+                left, right = self.encode(texts.slice(0, middle), end), self.encode(texts.slice(middle), end)
+                return np.concatenate((left[0], right[0])), np.concatenate((left[1], right[1][1:] + left[1][-1]))
+            at = unknown[first]
+            self._add(fresh, self._ids([b.word(i) for i in at.tolist()]))
+            found, _ = self._find(hashes)
+        size = self.size[found]
+        sums = np.concatenate(([0], np.cumsum(size)))
+        shift = np.repeat(self.begin[found] - sums[:-1], size)
+        ids = self.store[np.arange(sums[-1]) + shift]
+        bounds = sums[b.first]
+        if end is not None:
+            ids = np.insert(ids, bounds[1:], end)
+            bounds = bounds + np.arange(n + 1)
+        return ids, bounds
+
+    def _encode_plain(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of one text that has more different strings than the table holds, by the library."""
+        ids = [self.library.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]) for t in texts.to_pylist()]
+        return np.array([x for own in ids for x in own], "<u4"), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
 
 
 _encoders: dict[str, WordEncoder] = {}

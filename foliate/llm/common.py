@@ -44,8 +44,13 @@ def n_words(text: Column) -> Column:
 
 
 def row_place() -> Column:
-    """A hash that differs from row to row of a stashed table and is the same on every reading, even for repeated rows."""
-    return F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    """A hash that differs from row to row of a stashed table and is the same on every reading, even for repeated rows.
+
+    It tells rows apart by the number of the part that holds them and their index there, not by the part's random name, so
+    it is the same from run to run where the table is written in the same parts.
+    """
+    part = F.regexp_replace(F.col("_metadata.file_name"), "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    return F.xxhash64(part, F.col("_metadata.row_index"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

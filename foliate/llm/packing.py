@@ -1,59 +1,61 @@
-"""Packing token sequences: best-fit decreasing with certified bounds and exchanges.
+"""Packing token sequences: best-fit decreasing, certified by dual-feasible bounds, with exchanges between partitions.
 
 Documents become token pieces of at most a sequence's length. Pieces are dealt to partitions; each packs its own by best-fit
-decreasing, and dual-feasible functions give a lower bound on the sequences that its pieces need. A partition that meets its
-bound is certified: nothing inside it can be saved. What can still be saved lies in gaps and in half-filled sequences, so
-the pieces of all sequences with room that could save at least one are exchanged: dealt anew, packed anew, and the new
-sequences taken where they are fewer. This is repeated until the bound over all of them is met or nothing is saved.
+decreasing, and dual-feasible functions bound from below the sequences that its pieces need. A partition whose sequences
+exceed that bound by so little that all such partitions together can't save one sequence is certified and done. The others
+have gaps: the pieces of their sequences with room are exchanged, that is dealt anew to fewer and larger partitions, and
+packed anew. This goes on until the bound over all pieces is met, which certifies the whole, or nothing is left to exchange.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import encoder
 from .common import row_place, stash
+from .words import slices, tidy
 
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Pieces that one task packs.
-PARTITION_PIECES = 50_000
-MAX_EXCHANGES = 4
+#: Pieces that one task packs at first, how much larger partitions are with every exchange, and the largest.
+PARTITION_PIECES, GROWTH, LARGEST = 50_000, 4, 2_000_000
+MAX_EXCHANGES = 6
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """(doc_id, text) to token pieces: doc_id, piece, start, length, ids_crc32 and, if asked, ids as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from make(batches)
-        encoder(tokenizer_path).forget()  # other work of this process needs the memory
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                index, piece, start, length, crc, content = [], [], [], [], [], []
-                for i, own in enumerate(encoder(tokenizer_path).encode(batch.column(1).to_pylist())):
-                    own += end
-                    for k, s in enumerate(range(0, len(own), 4 * capacity)):
-                        part = own[s : s + 4 * capacity]
-                        index.append(i), piece.append(k), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                        if ids:
-                            content.append(part)
-                columns = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *([pa.array(content, pa.binary())] if ids else [])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *columns], names=names)
-
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            found, bounds = encoder(tokenizer_path).encode(batch.column(1), end_id)
+            size = np.diff(bounds)
+            count = -(-size // capacity)
+            index = np.repeat(np.arange(batch.num_rows), count)
+            piece = np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(size[index] - start, capacity)
+            at = bounds[index] + start
+            raw = found.astype("<u4", copy=False).view(np.uint8).data
+            parts = [raw[4 * s : 4 * e] for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            if ids:
+                columns.append(pa.array([bytes(x) for x in parts], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *columns], names=names)
+
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
@@ -82,78 +84,98 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The largest of several lower bounds on the bins, each the sum of a dual-feasible function.
+def dual_feasible(size: np.ndarray, count: np.ndarray, capacity: int = CAPACITY) -> float:
+    """The largest sum of several dual-feasible functions over `count` items of each `size`: that many bins or more are needed.
 
     A function u of [0, 1] is dual feasible if the values of any numbers that sum to at most 1 also sum to at most 1; the
     sum of u over all items then bounds the bins. Taken are the identity, the rounding u_k(x) = x if (k + 1) x is whole,
     else floor((k + 1) x) / k, and the threshold e(x) = 0 below e, x between, 1 above 1 - e.
     """
-    if not len(lengths):
-        return 0
-    size, count = np.unique(lengths, return_counts=True)
-    best = -(-int((size * count).sum()) // capacity)
+    best = int((size * count).sum()) / capacity
     for k in range(1, 33):
         scaled = (k + 1) * size
         whole = scaled % capacity == 0
         # In units of 1 / (k * capacity), so that sums are exact.
         value = np.where(whole, size * k, scaled // capacity * capacity)
-        best = max(best, -(-int((value * count).sum()) // (k * capacity)))
-    for e in size[size <= capacity // 2].tolist():
-        if len(size) > 512 and e % 16:
-            continue
-        value = np.where(size < e, 0, np.where(size > capacity - e, capacity, size))
-        best = max(best, -(-int((value * count).sum()) // capacity))
-    return best
+        best = max(best, int((value * count).sum()) / (k * capacity))
+    by_size = np.zeros(capacity + 2, np.int64)
+    by_size[size] = count
+    items, tokens = (np.concatenate(([0], np.cumsum(x))) for x in (by_size, by_size * np.arange(capacity + 2)))
+    e = np.arange(1, capacity // 2 + 1)
+    # Tokens of sizes e to capacity - e, and a bin for each larger one.
+    sums = tokens[capacity - e + 1] - tokens[e] + (items[-1] - items[capacity - e + 1]) * capacity
+    return max(best, int(sums.max(initial=0)) / capacity)
+
+
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """dual_feasible() of a list of lengths, in whole bins."""
+    return math.ceil(dual_feasible(*np.unique(lengths, return_counts=True), capacity) - 1e-9) if len(lengths) else 0
 
 
 def _pack_groups(rows: DataFrame, groups: int, round_: int, capacity: int) -> DataFrame:
-    """Rows with a place and a length, packed in `groups` groups by a hash of the place and the round."""
+    """Rows with a place and a length, packed in `groups` groups by a hash of the place and the round.
+
+    Added are bin, offset, fill (the bin's tokens) and certified: whether the group's bins exceed its dual-feasible sum by
+    less than 1 / groups, so that the certified groups can't save a whole sequence between them.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         n = int(bins.max(initial=-1)) + 1
         fill = np.bincount(bins, lengths, minlength=n).astype(np.int64)
-        group = table["group"][0].as_py()
-        number = np.int64(round_) << 56 | np.int64(group) << 24 | bins
-        extra = {"bin": number, "offset": offsets, "fill": fill[bins], "group_bins": np.full(len(bins), n), "group_bound": np.full(len(bins), lower_bound(lengths, capacity))}
+        certified = n - dual_feasible(*np.unique(lengths, return_counts=True), capacity) < 1 / groups
+        group = table["__group"][0].as_py()
+        number = np.int64(round_) << 58 | np.int64(group) << 26 | bins
+        extra = {"bin": number, "offset": offsets, "fill": fill[bins], "certified": np.full(len(bins), certified)}
         for name, values in extra.items():
-            table = table.append_column(name, pa.array(values, pa.int64()))
+            table = table.append_column(f"__{name}", pa.array(values))
         return table
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("place", F.lit(round_)), F.lit(groups)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
-    return dealt.groupBy("group").applyInArrow(run, f"{schema}, bin long, offset long, fill long, group_bins long, group_bound long").drop("group")
+    dealt = rows.withColumn("__group", F.pmod(F.xxhash64("__place", F.lit(round_)), F.lit(groups)))
+    schema = T.StructType([*dealt.schema.fields, *(T.StructField(f"__{n}", T.LongType()) for n in ("bin", "offset", "fill")), T.StructField("__certified", T.BooleanType())])
+    return dealt.groupBy("__group").applyInArrow(run, schema).drop("__group")
+
+
+def certify(parts: DataFrame, capacity: int = CAPACITY) -> int:
+    """The dual-feasible bound on the sequences that all pieces need; what comes to the driver is a count for each length."""
+    rows = parts.groupBy("length").count().collect()  # at most `capacity`
+    return math.ceil(dual_feasible(*np.array(rows, np.int64).T, capacity) - 1e-9) if rows else 0
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, max_exchanges: int = MAX_EXCHANGES) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, max_exchanges: int = MAX_EXCHANGES, largest: int = LARGEST) -> DataFrame:
     """Token pieces, with a length column of 1 to capacity, with sequence_id and offset added.
 
-    Sequences have no gaps and no piece is cut. Repeated pieces are packed each; an empty table gives no rows.
+    Sequences have no gaps and no piece is cut. Repeated pieces are packed each; an empty table gives no rows. Columns of
+    the input named sequence_id or offset are replaced.
     """
+    parts = stash(parts.drop("sequence_id", "offset"), "pack-pieces")
     columns = parts.columns
-    parts = stash(parts, "pack-pieces")
-    rows = parts.withColumn("place", row_place())
-    groups = lambda n: max(1, -(-n // partition_pieces))
+    rows = parts.withColumn("__place", row_place())
     n = parts.count()
-    packed = stash(_pack_groups(rows, groups(n), 0, capacity), "pack-round")
-    done: DataFrame | None = None
+    bound = certify(parts, capacity)
+    groups = max(1, -(-n // partition_pieces))
+    packed = stash(_pack_groups(rows, groups, 0, capacity), "pack-round")
+    done: list[DataFrame] = []
+    closed_bins = 0
     for i in range(1, max_exchanges + 1):
-        # Sequences with room, and the partitions they come from; a full sequence can't be bettered.
-        state = packed.where(F.col("fill") < capacity).agg(F.count("*"), F.count_distinct("bin"), F.sum("length"), F.count_distinct(F.shiftright("bin", 24))).first()
-        open_pieces, open_bins, words, partitions = (x or 0 for x in state)
-        if not open_pieces or partitions < 2 or open_bins <= -(-words // capacity):
-            break  # one partition has packed them together, or no packing of them needs fewer
-        still_open = packed.where(F.col("fill") < capacity)
-        closed = packed.where(F.col("fill") == capacity)
-        again = stash(_pack_groups(still_open.select(*columns, "place"), groups(open_pieces), i, capacity), "pack-round")
-        if again.select("bin").distinct().count() >= open_bins:
-            break
-        done = closed if done is None else done.unionByName(closed)
+        is_open = ~F.col("__certified") & (F.col("__fill") < capacity)
+        bins = lambda df: df.select("__bin").distinct().count()
+        pieces_open = packed.where(is_open).count()
+        fewer = max(1, -(-pieces_open // min(largest, partition_pieces * GROWTH**i)))
+        if groups == 1 or not pieces_open or closed_bins + bins(packed) <= bound:
+            break  # packed together, certified one by one, or certified as a whole
+        before = bins(packed.where(is_open))
+        again = stash(_pack_groups(packed.where(is_open).select(*columns, "__place"), fewer, i, capacity), "pack-round")
+        groups = fewer
+        if bins(again) > before:  # as it was; larger partitions may yet do better
+            again = packed.where(is_open)
+        closed = packed.where(~is_open)
+        closed_bins += bins(closed)
+        done.append(closed)
         packed = again
-    whole = packed if done is None else done.unionByName(packed)
-    return whole.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+    whole = reduce(DataFrame.unionByName, [*done, packed])
+    return whole.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:

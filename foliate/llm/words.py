@@ -7,7 +7,9 @@ of n distinct ones share one with a probability below n * n / 2**65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +31,36 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a task's batches that gives freed memory back to the system when the task ends.
+
+    Workers live on from task to task, and several idle ones can stand beside those at work.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library than glibc
+                return
+
+    return run
+
+
 def _power(which: int, n: int) -> np.ndarray:
     """The first n powers of the base (0) or of its inverse (1)."""
-    if len(_powers[which]) < n:
-        more = np.full(n + n // 4, (_BASE, _INVERSE)[which], np.uint64)
-        more[0] = 1
-        _powers[which] = np.multiply.accumulate(more)
-    return _powers[which][:n]
+    if len(_powers[which]) >= n:
+        return _powers[which][:n]
+    more = np.full(n if n > 2 * SLICE_BYTES else n + n // 4, (_BASE, _INVERSE)[which], np.uint64)
+    more[0] = 1
+    np.multiply.accumulate(more, out=more)
+    if n <= 2 * SLICE_BYTES:  # those of a longer text aren't kept
+        _powers[which] = more
+    return more[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
