@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .components import components
-from .words import Batch, mix, slices, split, windows
+from .words import Batch, mix, slices, split, tidy, windows
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -150,6 +150,7 @@ def frequent_weights(docs: DataFrame, rare: int = RARE) -> Weights:
     def rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
 
+    @tidy
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -176,6 +177,7 @@ def frequent_weights(docs: DataFrame, rare: int = RARE) -> Weights:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), 2.0)
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(shared.value), np.int64)
         for batch in (part for whole in batches for part in slices(whole, 0)):
@@ -209,6 +211,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) ->
     right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
             near = similarities(batch.column(2), batch.column(3), weights.value) >= threshold - 1e-9
@@ -329,6 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     weights = spark.sparkContext.broadcast(frequent_weights(docs, rare))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
             drawn = sample(*weighted_sets(batch.column(2), weights.value), batch.num_rows).astype(np.uint64)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh_path, stash
+from .words import slices, tidy
 
-KEY = b"foliate"
+#: Bytes that a key must have at least.
+LEAST_KEY = 16
 MAX_ATTEMPTS = 16
 #: Re-keyed entities up to which every task is sent all of them; beyond, tasks read the parts of a table that they need.
 MAX_SENT, PARTS = 10_000, 256
+#: Bytes of texts that are rewritten at a time.
+SLICE_BYTES = 4 << 20
 
 # Given names by script and gender, titles by gender, endings that hold no name.
 GIVEN = {
@@ -51,8 +56,11 @@ CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклм
 # Keyed permutations
 
 
+# A tag begins with the secret key, which keys BLAKE2 as well as its own key argument does.
+
+
 def _prf(tag: str, half: int, bits: int) -> int:
-    digest = hashlib.blake2b(f"{tag}/{half}".encode(), key=KEY, digest_size=32).digest()
+    digest = hashlib.blake2b(f"{tag}/{half}".encode(), digest_size=32).digest()
     return int.from_bytes(digest, "big") & ((1 << bits) - 1)
 
 
@@ -149,18 +157,50 @@ def _email(x: str, tag: str) -> str:
 
 def _script(x: str) -> str:
     c = next((c for c in x if c.isalpha()), "a")
-    return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
+    if c < "\u0250" or "\u1e00" <= c < "\u1f00":
+        return "latin"
+    return "cyrillic" if "\u0400" <= c <= "\u052f" else "greek" if "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff" else "other"
+
+
+#: First and last character of scripts whose letters are one alphabet here.
+WIDE = (("\u4e00", "\u9fff"), ("\uac00", "\ud7a3"))
+
+
+@functools.lru_cache(1024)
+def _page(first: int, last: int, category: str, sound: str) -> str:
+    """The letters from first to last of a category that have one capital of their own, or none, and a vowel or consonant as base."""
+    out = [c for c in map(chr, range(first, last + 1)) if unicodedata.category(c) == category and c.upper().lower() == c and len(c.upper()) == 1]
+    return "".join(c for c in out if _sound(c) == sound)
+
+
+def _sound(c: str) -> str:
+    base = unicodedata.normalize("NFD", c)[0]
+    return next((f"{kind}{script}" for kind, table in (("v", VOWELS), ("c", CONSONANTS)) for script, letters in table.items() if base in letters), "")
+
+
+def _letters(c: str) -> str:
+    """The letters that c, a small letter or one without case, is exchanged with: those of its script and kind; itself if there are none."""
+    for table in (VOWELS, CONSONANTS):
+        for letters in table.values():
+            if c in letters:
+                return letters
+    if not c.isalpha():
+        return ""
+    first, last = next(((ord(a), ord(b)) for a, b in WIDE if a <= c <= b), (ord(c) & ~127, ord(c) | 127))
+    found = _page(max(first, 128), last, unicodedata.category(c), _sound(c))
+    return found if c in found else ""
 
 
 def _draw(x: str, tag: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tag}\0{x}".encode(), key=KEY, digest_size=32).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(f"{tag}\0{x}".encode(), digest_size=32).digest(), "big")
 
 
 def _drawn_name(x: str, tag: str) -> str:
-    """Twelve letters of the name's script, drawn by a keyed hash: for names of other letters, or of a format that is full."""
+    """Letters of the name's script, drawn by a keyed hash: for names of other letters, or of a format that is full."""
     script, number, out = _script(x), _draw(x, tag), []
-    for i in range(12):
-        letters = (CONSONANTS, VOWELS)[i % 2][script]
+    wide = next((a for c in x if (a := _letters(c))), LOWER)
+    for i in range(12 if script != "other" else 6):
+        letters = (CONSONANTS, VOWELS)[i % 2].get(script, wide)
         out.append(letters[number % len(letters)])
         number //= len(letters)
     return "".join(out)
@@ -172,16 +212,15 @@ def _drawn_ip(x: str, tag: str) -> str:
 
 
 def _surname(x: str, tag: str) -> str:
-    script = _script(x)
-    alphabets = [next((a for a in (VOWELS[script], CONSONANTS[script]) if c in a), "") for c in x]
-    return permute_letters(x, alphabets, tag) if any(alphabets) else _drawn_name(x, tag)
+    alphabets = [_letters(c) for c in x]
+    return permute_letters(x, alphabets, tag) if any(len(a) > 1 for a in alphabets) else _drawn_name(x, tag)
 
 
 def _given(x: str, tag: str) -> str:
     gender, _, name = x.partition(":")
-    if "/" in tag:  # another has the list's name
+    names = GIVEN.get((_script(name), gender))
+    if "/" in tag or not names:  # another has the list's name, or the script has no list
         return f"{gender}:{_surname(name, tag)}"
-    names = GIVEN[_script(name), gender]
     return f"{gender}:{names[_prf(tag, int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), 'big'), 32) % len(names)].lower()}"
 
 
@@ -282,11 +321,12 @@ def find(text: str) -> list[Mention]:
     return out
 
 
-@functools.lru_cache(100_000)
-def surrogate(kind: str, original: str, attempt: int = 0) -> str:
-    """The surrogate of a canonical form; attempts past 0 are other keys."""
+@functools.lru_cache(10_000)
+def surrogate(kind: str, original: str, key: bytes, attempt: int = 0) -> str:
+    """The surrogate of a canonical form under a secret key; attempts past 0 are other keys."""
     how = SPARE.get(kind, SURROGATES[kind]) if attempt >= MAX_ATTEMPTS else SURROGATES[kind]
-    return how(original, f"{kind}/{attempt}" if attempt else kind)
+    tag = f"{key.hex()}:{kind}"
+    return how(original, f"{tag}/{attempt}" if attempt else tag)
 
 
 def _notation(mention: str, kind: str, new: str) -> str:
@@ -304,11 +344,11 @@ def _notation(mention: str, kind: str, new: str) -> str:
     return "".join(out) + "".join(letters)
 
 
-def replace(text: str, attempt: Callable[[str, str], int] = lambda kind, original: 0) -> tuple[str, list[Mention]]:
+def replace(text: str, key: bytes, attempt: Callable[[str, str], int] = lambda kind, original: 0) -> tuple[str, list[Mention]]:
     """The text with surrogates, and the mentions that were found."""
     out, at, mentions = [], 0, find(text)
     for m in mentions:
-        out += [text[at : m.start], _notation(text[m.start : m.end], m.kind, surrogate(m.kind, m.original, attempt(m.kind, m.original)))]
+        out += [text[at : m.start], _notation(text[m.start : m.end], m.kind, surrogate(m.kind, m.original, key, attempt(m.kind, m.original)))]
         at = m.end
     return ("".join([*out, text[at:]]) if mentions else text), mentions
 
@@ -319,24 +359,26 @@ def replace(text: str, attempt: Callable[[str, str], int] = lambda kind, origina
 def entities(docs: DataFrame) -> DataFrame:
     """The different (kind, original) of all texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             found = {(m.kind, m.original) for text in batch.column(0) if text.is_valid for m in find(text.as_py())}
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], []))], names=["kind", "original"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, original string").distinct()
 
 
-def rekeyed(found: DataFrame) -> DataFrame:
+def rekeyed(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, original, attempt) of the entities whose first surrogate won't do: it is the entity itself or another one of
     the corpus, or another entity has it too. Of those that share one, the first keeps it. Given names may be those of
     others in the corpus, as people's are; no two get the same one. What is left after the last attempt, in another format,
     is an error.
     """
 
+    @tidy
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [surrogate(k, o, a) for k, o, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            new = [surrogate(k, o, key, a) for k, o, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "original", "attempt", "surrogate"])
 
     schema = "kind string, original string, attempt int, surrogate string"
@@ -380,8 +422,8 @@ def _part(original: str) -> int:
     return int(hashlib.md5(original.encode()).hexdigest()[:4], 16) % PARTS
 
 
-def _attempts(docs: DataFrame, max_sent: int) -> Attempts:
-    changed = stash(rekeyed(stash(entities(docs), "pii-entities")), "pii-rekeyed")
+def _attempts(docs: DataFrame, key: bytes, max_sent: int) -> Attempts:
+    changed = stash(rekeyed(stash(entities(docs), "pii-entities"), key), "pii-rekeyed")
     if changed.count() <= max_sent:
         return Attempts({(r[0], r[1]): r[2] for r in changed.collect()}, None)
     path = fresh_path(docs.sparkSession, "pii-parts")
@@ -390,28 +432,34 @@ def _attempts(docs: DataFrame, max_sent: int) -> Attempts:
     return Attempts(None, path)
 
 
-def pseudonymise(docs: DataFrame, max_sent: int = MAX_SENT) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, max_sent: int = MAX_SENT) -> DataFrame:
     """docs with `text` rewritten, all other columns as they are, and two columns added: __entities, the number of mentions
     replaced, and __kinds, their kinds, sorted, with commas between.
 
     Null texts stay null and empty ones empty, with 0 mentions. Texts are searched whole. Equal texts, and so repeated rows,
     get equal results. Numbers that fail their check digit and addresses that can't exist are left alone. An empty table
-    gives no rows.
+    gives no rows. Columns of the input with the names of the two are replaced. The key, of at least LEAST_KEY bytes, is to be
+    kept secret: who has it can undo most surrogates; the same key gives the same surrogates, but for clashes, in every run.
     """
-    attempts = docs.sparkSession.sparkContext.broadcast(_attempts(docs, max_sent))
+    if len(key) < LEAST_KEY:
+        raise ValueError(f"the key has {len(key)} bytes, fewer than {LEAST_KEY}")
+    docs = docs.drop("__entities", "__kinds")
+    attempts = docs.sparkSession.sparkContext.broadcast(_attempts(docs, key, max_sent))
     place = docs.columns.index("text")
     text_type = docs.schema["text"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, SLICE_BYTES)):
             texts, counts, kinds = [], [], []
             for text in batch.column(place):
-                new, mentions = replace(text.as_py(), attempts.value) if text.is_valid else (None, [])
+                new, mentions = replace(text.as_py(), key, attempts.value) if text.is_valid else (None, [])
                 texts.append(new)
                 counts.append(len(mentions))
                 kinds.append(",".join(sorted({m.kind for m in mentions})))
             columns = [pa.array(texts, batch.column(i).type) if i == place else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=[*batch.schema.names, "__entities", "__kinds"])
+        surrogate.cache_clear()
 
     if text_type != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))

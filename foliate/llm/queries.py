@@ -76,10 +76,15 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of surrogates: spark.foliate.pii.key, and one that is no secret where that is unset, as in tests."""
+    return spark.conf.get("spark.foliate.pii.key", "not a secret: for tests").encode()
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    clean = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return clean.select("doc_id", "text", F.col("__entities").alias("n_entities"), F.col("__kinds").alias("kinds"))
 
 
