@@ -13,7 +13,7 @@ from foliate.llm.neardup import keep_one
 from foliate.llm.packing import pack_documents
 from foliate.llm.pii import pseudonymise
 from foliate.llm.quality import fit, keep_good
-from foliate.llm.queries import tokenizer_path
+from foliate.llm.queries import pii_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; n_chars follows a text that changed."""
-    new = pseudonymise(docs).drop("__kinds")
+    new = pseudonymise(docs, pii_key(spark)).drop("__kinds")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new = new.withColumn("n_chars", F.when(F.col("__entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
