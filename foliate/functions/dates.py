@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The notations that give one calendar date. Those that the earlier rules of the cascade always decide are
-# left out here (numeric dates with the year last, digits only).
+# left out here (numeric dates with the year last, digits only; but those with blanks stay, as more than one may stand there).
 COMPLETE = (
     "%Y-%m-%d", "%B %d, %Y", "%Y-%b-%d", "%b-%d-%Y", "%d-%b-%Y", "%y-%b-%d", "%d-%b-%y", "%b-%d-%y", "%Y.%j",
     "%a %m/%d/%Y", "%a %m-%d-%Y", "%a %m.%d.%Y", "%a %b %d, %Y", "%b, %d %a %Y", "%a %m/%d/%Y %I:%M:%S %p",
@@ -26,6 +26,7 @@ COMPLETE = (
     "%m/%d/%y, %I:%M %p", "%Y-%m-%dT%H:%M:%S%z", "%Y%m%dT%H%M%SZ", "%Y/%m/%d %H:%M", "%a %b %d %H:%M:%S %Z %Y",
     "%a %b %d %H:%M:%S %z %Y", "%Y-%m-%dT%H:%M:%S", "%a %b %d %I:%M:%S %p %Y", "%a %b %d %Y %I:%M:%S %p",
     "%a, %b %d %Y", "%a %d %b, %Y", "%a %b %d/%Y", "%a %d/%b/%Y", "%a %d/%m/%Y", "%d/%b/%Y", "%B-%d-%Y", "%b-%d, %Y",
+    "%m %d %Y", "%m %d %y", "%d %m %Y",
 )
 # The notations that fix no one date. Ranges with a separator of SEPARATORS need no entry.
 INCOMPLETE = ("%b %d", "%b %Y", "%B %Y", "%b %y", "%m/%d", "%a %b %d", "%a %b %d %I:%M:%S %p", "%a %b %d %H:%M %p", "%a %b %d %I:%M %p", "%a, %I:%M:%S %p", "%Y-%m", "%Y")

@@ -158,6 +158,12 @@ def resolve_label(df: DataFrame, column: str, lookup: DataFrame, out: str) -> tu
     return joined, F.when(F.col(column).isNotNull() & F.col(out).isNull(), F.concat(F.lit(f"Unknown {column} label "), F.col(column)))
 
 
+def fail_on(df: DataFrame, reason: Column) -> DataFrame:
+    """df, which can't be read if any row has the reason: the fail-fast form of a rejection."""
+    checked = F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
+    return df.where(checked)
+
+
 def resolve_parent(df: DataFrame, column: str, parents: DataFrame, key: str, value: str, out: str, required: bool = False) -> tuple[DataFrame, Column, Column]:
     """df with the parent's value for a key, its match status, and the reason to reject a required one that is absent."""
     known = parents.select(F.col(key).alias("__key"), F.col(value).alias("__value"))

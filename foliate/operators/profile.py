@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,3 +77,13 @@ def orphans(child: DataFrame, columns: list[str], parent: DataFrame, keys: list[
     known = parent.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
     on = [F.col(c) == F.col(f"__k{i}") for i, c in enumerate(columns)]
     return present.join(known, on, "left_anti")
+
+
+def overview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """What a table looks like, as rows (part, position, content): its shape, a line for each column, its first n rows as JSON."""
+    shape = df.agg(F.concat(F.count("*").cast("string"), F.lit(f" x {len(df.columns)}")).alias("content")).select(F.lit("shape").alias("part"), F.lit(0).alias("position"), "content")
+    columns = df.sparkSession.createDataFrame([("column", i, f"{f.name}: {f.dataType.simpleString()}") for i, f in enumerate(df.schema)], "part string, position int, content string")
+    first = df.orderBy(*order).limit(n)
+    number = F.row_number().over(Window.orderBy(*order)) - 1  # over n rows
+    rows = first.select(F.lit("row").alias("part"), number.alias("position"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("content"))
+    return shape.unionByName(columns).unionByName(rows)

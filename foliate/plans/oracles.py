@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..vocab import MODELS
+
 WORD = r"'(^|[^a-z0-9à-öø-ÿß])({0})([^a-z0-9à-öø-ÿß]|$)'"
 #: The surface forms whose stem is that of `air`, and of `flight`.
 AIR, FLIGHT = "air|airs|aired|airing|aire|aires|airings", "flight|flights|flighted|flighting"
@@ -21,18 +23,24 @@ ORDERED = GRAMS.replace("list_distinct(", "(", 1)
 
 NAMES = "names AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name)"
 
+#: Similarity of each text to each word, to any part of it and to whole words of it.
 Q2 = f"""WITH {NAMES},
-q AS (SELECT {GRAMS.format("'gizmoo'")} AS q),
-g AS (SELECT id, p_name, q, {ORDERED.format("p_name")} AS o,
-   flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_concat([1], list_transform(range(1, length(w) + 1), lambda i: 0)))) AS begins
-   FROM names, q),
-p AS (SELECT *, unnest(range(1, len(o) + 1)) AS s FROM g),
+q AS (SELECT word, {GRAMS.format("word")} AS q FROM (VALUES ('gizmoo'), ('smal'), ('widgt'), ('economxy')) w(word)),
+texts AS (SELECT id, p_name AS text, true AS own FROM names
+   UNION SELECT id, concat_ws(' ', p_type, p_brand), false FROM part JOIN names USING (p_name)),
+g AS (SELECT id, word, text, own, q, {ORDERED.format("text")} AS o,
+   flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_concat([1], list_transform(range(1, length(w) + 1), lambda i: 0)))) AS begins
+   FROM (SELECT DISTINCT text FROM texts) t JOIN texts USING (text), q),
+d AS (SELECT DISTINCT word, text, q, o, begins FROM g),
+p AS (SELECT *, unnest(range(1, len(o) + 1)) AS s FROM d),
 e AS (SELECT *, unnest(range(s, len(o) + 1)) AS e FROM p),
-x AS (SELECT id, p_name, list_distinct(o[s:e]) AS part, q, begins[s] = 1 AND (e = len(o) OR begins[e + 1] = 1) AS whole FROM e),
-y AS (SELECT id, p_name, whole, len(list_intersect(part, q)) / (len(part) + len(q) - len(list_intersect(part, q))) AS score FROM x),
-z AS (SELECT id, p_name, max(score) AS score, max(score) FILTER (whole) AS strict FROM y GROUP BY id, p_name)
-SELECT id, round(CAST(CAST(score AS FLOAT) AS DOUBLE), 5) AS score, p_name, 0.6::DOUBLE AS similarity_threshold, 'gizmoo' AS searched, 'word_similarity' AS method
-FROM z WHERE CAST(score AS FLOAT) >= CAST(0.6 AS FLOAT) OR CAST(strict AS FLOAT) >= CAST(0.5 AS FLOAT)"""
+x AS (SELECT word, text, list_distinct(o[s:e]) AS part, q, begins[s] = 1 AND (e = len(o) OR begins[e + 1] = 1) AS whole FROM e),
+y AS (SELECT word, text, whole, len(list_intersect(part, q)) / (len(part) + len(q) - len(list_intersect(part, q))) AS score FROM x),
+z AS (SELECT word, text, max(score) AS score, max(score) FILTER (whole) AS strict FROM y GROUP BY word, text),
+best AS (SELECT id, word, max(score) AS score FROM texts JOIN z USING (text)
+   WHERE (own AND CAST(score AS FLOAT) >= CAST(0.6 AS FLOAT)) OR (NOT own AND CAST(strict AS FLOAT) >= CAST(0.5 AS FLOAT)) GROUP BY id, word)
+SELECT id, round(CAST(CAST(score AS FLOAT) AS DOUBLE), 5) AS score, p_name AS full_text, 0.6::DOUBLE AS similarity_threshold, word AS searched, 'word_similarity' AS method
+FROM best JOIN names USING (id)"""
 
 PAIRS = f"""{NAMES}, g AS (SELECT id, lower(p_name) AS p_name, {GRAMS.format("p_name")} AS g FROM names),
 pairs AS (SELECT a.id AS a, b.id AS b, a.p_name AS name_a, b.p_name AS name_b,
@@ -43,7 +51,24 @@ EDGES = """edges AS (SELECT 'cn' || c_custkey AS id, 'c' || c_custkey AS s, 'n'
    UNION ALL SELECT 'sn' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey FROM supplier
    UNION ALL SELECT 'nr' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
 
-DAILY_LINKS = "SELECT CAST(ts AS DATE) AS processing_date, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*) AS links FROM {0} WHERE ts IS NOT NULL GROUP BY 1"
+_MODELS = ", ".join(f"({number}, '{name}')" for name, number in MODELS.items())
+#: Files, the models that they were given to, and a row for each of both.
+FILES = "SELECT event_id AS file_id, ts AS processed_at FROM events"
+BRIDGE = "SELECT file_id, model_id FROM (SELECT event_id AS file_id, unnest(list_distinct([user_id % 8 + 1, event_id % 3 + 1])) AS model_id FROM events) WHERE model_id IS NOT NULL"
+MORE_FILES = "SELECT -1 - i, TIMESTAMP '2026-10-10 12:00:00' FROM range(10) t(i)"
+MORE_LINKS = "SELECT -1 - i % 10, i % 7 + 1 FROM range(21) t(i)"
+DAILY = """WITH files AS ({files}), bridge AS ({bridge}), models(model_id, model_name) AS (VALUES {models})
+SELECT CAST(processed_at AS DATE) AS processing_date, string_agg(DISTINCT model_name, ',' ORDER BY model_name) AS models, {count}
+FROM files JOIN bridge USING (file_id) JOIN models USING (model_id) WHERE processed_at IS NOT NULL GROUP BY 1"""
+
+EMAIL = """CASE WHEN doc_id % 7 = 0 THEN '{"subject":' WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '{"subject":"s","from":"f"}'
+   WHEN doc_id % 5 = 0 THEN '{"subject":"re: Redacted","from":"a","to":"b"}' WHEN doc_id % 11 = 0 THEN '{"subject":"s","from":"a____b","to":"c"}'
+   WHEN doc_id % 17 = 0 THEN '["subject","from","to"]' WHEN doc_id % 19 = 0 THEN '{"subject":"a_b","from":null,"to":"c"}'
+   ELSE '{"subject":"' || lang || '","from":"' || source || '","to":"n' || doc_id || '"}' END"""
+Q6 = f"""WITH mails AS (SELECT doc_id, {EMAIL} AS email_fields FROM documents),
+parsed AS (SELECT *, CASE WHEN json_valid(email_fields) THEN CAST(email_fields AS JSON) END AS j FROM mails)
+SELECT doc_id, email_fields FROM parsed WHERE j IS NOT NULL AND """ + " AND ".join(rf"(j ->> '{k}') NOT ILIKE '%REDACTED%' AND (j ->> '{k}') NOT ILIKE '%\_\_\_\_%' ESCAPE '\'" for k in ("subject", "from", "to"))
+EVENTS_JSON = r"SELECT event_id, props FROM events WHERE props ->> 'k' NOT ILIKE '%7%' AND props ->> 'k' NOT ILIKE '%\_\_\_\_%' ESCAPE '\'"
 
 
 def _profile(table: str, columns: dict[str, str]) -> str:
@@ -96,7 +121,11 @@ ORACLE_SQL = {
     "q1_fulltext": Q1,
     "q1_fingerprint": f"SELECT sha256(string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM ({Q1})",
     "c1_fulltext_lines": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-WHERE {_match("line", AIR)} OR {_match("line", FLIGHT)}""",
+WHERE {_match("line", AIR)}""",
+    "c1_fulltext_flight": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+WHERE {_match("line", FLIGHT)}""",
+    "c1_sample_documents": """WITH labels AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT coalesce(source, 'gemini') AS label FROM documents))
+SELECT doc_id, label AS source, CAST(id AS INTEGER) AS source_id FROM (SELECT doc_id, coalesce(source, 'gemini') AS label FROM documents ORDER BY doc_id LIMIT 100) JOIN labels USING (label)""",
     "c1_substring": "SELECT doc_id, source FROM documents WHERE text ILIKE '%air%'",
     "c1_sample_semi": "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100)",
     "text_vector_cutoff": "SELECT item_id, octet_length(encode(text)) > 400 AS too_large, octet_length(encode(text)) <= 400 AS has_vector FROM benchmark",
@@ -110,11 +139,12 @@ edges AS (SELECT a.id AS s, b.id AS t FROM items a JOIN items b ON a.id <> b.id
 reach AS (SELECT id AS node, id AS grp FROM items UNION SELECT e.t, r.grp FROM reach r JOIN edges e ON e.s = r.node),
 groups AS (SELECT node, min(grp) AS grp FROM reach GROUP BY node)
 SELECT string_agg(p_name, '|' ORDER BY p_name) AS names, CAST(sum(total) AS DECIMAL(38,2)) AS total_amount, CAST(sum(n) AS BIGINT) AS transactions_count FROM groups JOIN items ON id = node GROUP BY grp""",
-    "q5_daily_models": "SELECT CAST(ts AS DATE) AS processing_date, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(DISTINCT user_id) AS users FROM events WHERE ts IS NOT NULL GROUP BY 1",
-    "q5_mv": DAILY_LINKS.format("events"),
-    "q5_mv_refresh": DAILY_LINKS.format("(SELECT ts, event_type FROM events UNION ALL SELECT TIMESTAMP '2026-10-10 12:00:00', 'model-' || (i % 7) FROM range(21) t(i))"),
-    "q6_json_filter": r"SELECT event_id, props FROM events WHERE props ->> 'k' NOT ILIKE '%7%' AND props ->> 'k' NOT ILIKE '%\_\_\_\_%' ESCAPE '\'",
-    "json_filter_native": r"SELECT event_id, props FROM events WHERE props ->> 'k' NOT ILIKE '%7%' AND props ->> 'k' NOT ILIKE '%\_\_\_\_%' ESCAPE '\'",
+    "q5_daily_models": DAILY.format(files=FILES, bridge=BRIDGE, models=_MODELS, count="count(DISTINCT file_id) AS files"),
+    "q5_mv": DAILY.format(files=FILES, bridge=BRIDGE, models=_MODELS, count="count(*) AS links"),
+    "q5_mv_refresh": DAILY.format(files=f"{FILES} UNION ALL {MORE_FILES}", bridge=f"{BRIDGE} UNION ALL {MORE_LINKS}", models=_MODELS, count="count(*) AS links"),
+    "q6_json_filter": Q6,
+    "json_filter_events": EVENTS_JSON,
+    "json_filter_native": EVENTS_JSON,
     "profile_columns_documents": _profile("documents", _NUMBER),
     "profile_columns_orders": _profile("orders", _ORDERS),
     "profile_columns_lineitem": _profile("lineitem", _LINES),
@@ -130,7 +160,7 @@ SELECT string_agg(p_name, '|' ORDER BY p_name) AS names, CAST(sum(total) AS DECI
     "json_types": "SELECT CASE json_type(props) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' ELSE 'invalid' END AS json_type, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1",
     "date_shapes": f"SELECT CASE WHEN regexp_full_match(raw, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'valid_iso_date' ELSE 'other_notation' END AS shape, count(*) AS n FROM (SELECT {NOTATION} AS raw FROM orders) WHERE raw IS NOT NULL GROUP BY 1",
     "parse_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 6 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 9 < 6 THEN 'success' WHEN o_orderkey % 9 < 8 THEN 'partial' ELSE 'failed' END AS status FROM orders",
-    "parse_amounts": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_totalprice AS DECIMAL(28,2)) END AS amount, o_orderkey % 10 = 0 AS rejected FROM orders",
+    "parse_amounts": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 10 > 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 9765625 AS DECIMAL(28,0)) * CAST('0.0000000001' AS DECIMAL(10,10)) ELSE CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(28,10)) END END AS VARCHAR) AS amount, o_orderkey % 10 < 2 AS rejected FROM orders""",
     "parse_hashes": "SELECT c_custkey, CASE WHEN c_custkey % 5 > 2 THEN sha256(c_name) END AS hash, CASE c_custkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'empty' WHEN 2 THEN 'null' ELSE 'success' END AS status FROM customer",
     "parse_models": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '4,6' WHEN 2 THEN '5,6' ELSE '' END AS ids, CASE s_suppkey % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'failed' WHEN 2 THEN 'success' ELSE 'null' END AS status, CASE s_suppkey % 4 WHEN 0 THEN 'unlisted' WHEN 1 THEN 'unlisted' ELSE '' END AS unknown FROM supplier",
     "label_forms": "SELECT DISTINCT upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS label, CASE WHEN c_nationkey > 9 THEN c_mktsegment ELSE 'gemini-2.5-flash-lite' END AS source FROM customer",
@@ -140,5 +170,18 @@ SELECT string_agg(p_name, '|' ORDER BY p_name) AS names, CAST(sum(total) AS DECI
     "ingest_reasons": f"WITH {LINES} SELECT status, reason, count(*) AS n FROM classified GROUP BY 1, 2",
     "ordinals": f"SELECT s_suppkey, CAST(file_row_number + 1 AS BIGINT) AS source_ordinal FROM {_place('supplier')}",
     "resolve_references": "SELECT o_orderkey, c_custkey AS customer_id, CASE WHEN c_custkey IS NULL THEN 'unresolved' ELSE 'matched' END AS match_status FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
-    "overview": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey, o_custkey, o_totalprice LIMIT 5",
+    "required_references": "SELECT o_orderkey, 'Required o_custkey reference does not resolve' AS reason FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IS NOT NULL)",
+    "resolve_labels": """WITH l AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT o_orderpriority AS label FROM orders WHERE o_orderpriority <> '5-LOW'))
+SELECT o_orderkey, CAST(id AS INTEGER) AS priority_id, CASE WHEN o_orderpriority IS NOT NULL AND id IS NULL THEN 'Unknown o_orderpriority label ' || o_orderpriority END AS reason FROM orders LEFT JOIN l ON label = o_orderpriority""",
+    "ingest_rerun": f"WITH {LINES} SELECT count(*) AS read, CAST(0 AS BIGINT) AS accepted, count(*) FILTER (status = 'quarantined') AS quarantined, count(*) FILTER (status <> 'quarantined') AS duplicate FROM classified",
+    "ingest_two_keys": """SELECT s_suppkey, CASE WHEN s_suppkey % 20 = 15 THEN 'duplicate' WHEN s_suppkey % 20 = 5 OR (s_suppkey % 10 = 3 AND s_suppkey >= 3) THEN 'quarantined' ELSE 'accepted' END AS status,
+   CASE WHEN s_suppkey % 20 = 5 OR s_suppkey % 10 = 3 THEN 'Conflicting unique key' END AS reason FROM supplier""",
+    "import_diagnostics": """SELECT CASE WHEN o_orderkey % 9 = 8 THEN 'malformed_date' ELSE 'partial_date' END AS category, 'event_date' AS "column", CASE WHEN o_orderkey % 9 = 8 THEN 'failed' ELSE 'partial' END AS status, count(*) AS n FROM orders WHERE o_orderkey % 9 >= 6 GROUP BY ALL
+UNION ALL SELECT 'unresolved_fk', 'o_custkey', 'unresolved', count(*) FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IS NOT NULL) HAVING count(*) > 0""",
+    "manifest_rows": " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in ("nation", "orders", "pages")),
+    "overview": """SELECT 'shape' AS part, 0 AS position, count(*) || ' x 6' AS content FROM orders
+UNION ALL SELECT 'column', i, c FROM (VALUES (0, 'o_orderkey: bigint'), (1, 'o_custkey: bigint'), (2, 'o_orderstatus: string'), (3, 'o_totalprice: double'), (4, 'o_orderdate: timestamp_ntz'), (5, 'o_orderpriority: string')) v(i, c)
+UNION ALL SELECT 'row', CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER), '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || coalesce(CAST(o_custkey AS VARCHAR), 'null') || ',"o_orderstatus":' || coalesce('"' || o_orderstatus || '"', 'null')
+   || ',"o_totalprice":' || coalesce(CAST(o_totalprice AS VARCHAR), 'null') || ',"o_orderdate":' || coalesce(strftime(o_orderdate, '"%Y-%m-%dT%H:%M:%S.%g"'), 'null') || ',"o_orderpriority":' || coalesce('"' || o_orderpriority || '"', 'null') || '}'
+   FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5)""",
 }

@@ -34,17 +34,28 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
+#: Source columns by what their diagnostics are about.
+DATES = ("date", "event_date", "event_end_date", "transaction_date", "statement_date", "flight_departure", "doc_date")
+TIMES = ("created_at", "started_at", "completed_at", "last_heartbeat", "first_seen_at", "processed_at")
+JSONS = ("email_fields", "aliases", "search_terms", "sources", "metadata", "also_appears_as")
+HASHES = ("pdf_sha256", "output_sha256")
+MODEL_COLUMNS = ("model", "model_used", "extraction_model")
+# The categories of a report.
+CATEGORIES = ("partial_date", "malformed_date", "partial_timestamp", "malformed_timestamp", "malformed_json", "invalid_hash", "unknown_model", "unresolved_fk", "other_parse")
+
+
 def error_category() -> Column:
-    """A short name for what a diagnostic is about."""
-    kind, column, status = F.col("kind"), F.col("column"), F.col("status")
-    return (
-        F.when(kind == "quarantine", F.coalesce("reason", F.lit("quarantine")))
-        .when(kind == "duplicate", "duplicate")
-        .when(kind == "match", F.concat(F.lit("unresolved_"), column))
-        .when((kind == "parse") & (column.contains("date") | column.endswith("_at") | column.contains("heartbeat")), F.concat(status, F.lit("_date")))
-        .when(kind == "parse", F.concat(status, F.lit("_"), column))
-        .otherwise(kind)
+    """The category of a diagnostic (kind, column, status); null for kinds that are no errors of a value."""
+    column, partial = F.col("column"), F.col("status") == "partial"
+    about = (
+        F.when(column.isin(*DATES), F.when(partial, "partial_date").otherwise("malformed_date"))
+        .when(column.isin(*TIMES), F.when(partial, "partial_timestamp").otherwise("malformed_timestamp"))
+        .when(column.isin(*JSONS), "malformed_json")
+        .when(column.isin(*HASHES), "invalid_hash")
+        .when(column.isin(*MODEL_COLUMNS), "unknown_model")
+        .otherwise("other_parse")
     )
+    return F.when(F.col("kind") == "match", "unresolved_fk").when(F.col("kind") == "parse", about)
 
 
 def import_report(journal: DataFrame, manifest_rows: int) -> dict:
