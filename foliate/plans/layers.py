@@ -36,6 +36,7 @@ class Draft:
         self.df, self.lookups, self.parents = df, lookups, parents
         self.reasons: list[Column] = []
         self.told: dict[str, tuple[str, Column, Column]] = {}
+        self.labels: list[tuple[str, str]] = []
 
     def _keep(self, kind: str, name: str, status: Column, raw: Column) -> None:
         self.df = self.df.withColumn(f"__told_{name}", F.struct(status.alias("status"), raw.cast("string").alias("raw")))
@@ -51,6 +52,7 @@ class Draft:
         self.df = self.df.withColumns({f"{name}_raw": F.col(name), f"{name}_parsed": value, f"{name}_status": id_of(status, PARSE_STATUS)}).drop(name)
 
     def category(self, name: str, target: str, lookup: str, form=None) -> Draft:
+        self.labels.append((target, f"lookup_{lookup}"))
         label = form(F.col(name)) if form else F.col(name)
         self.df = self.df.withColumn("__own_label", label)
         if target == name:

@@ -20,6 +20,8 @@ MODELS = {
     "grok-2-vision-latest": 7,
     "tesseract-community": 8,
 }
+#: The tables that hold them.
+VOCABULARIES = {"parse_statuses": PARSE_STATUS, "match_statuses": MATCH_STATUS, "run_statuses": RUN_STATUS, "file_statuses": FILE_STATUS, "curated_statuses": CURATED_STATUS, "curated_tiers": CURATED_TIER, "models": MODELS}
 DEFAULT_OCR_SOURCE = "gemini-2.5-flash-lite"
 
 

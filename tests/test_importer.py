@@ -1,9 +1,12 @@
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliate.plans.importer import Importer
 from foliate.plans.layers import LAYERS
-from foliate.sources.journal import import_report, read_journal
+from foliate.sources.journal import CATEGORIES, import_report, read_journal, write_report
 
 
 def document(i, key, **k):
@@ -79,12 +82,85 @@ def test_values(imported, spark):
     assert importer.verify() >= 10
 
 
-def test_journal_and_rerun(imported, spark):
+def rows_of(importer):
+    """Rows of each file of each layer, as a manifest has them."""
+    return {layer: {r.f: r.n for r in importer.source(layer).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()} for layer in importer.shards}
+
+
+def test_journal_and_rerun(imported, spark, tmp_path):
     importer, counts = imported
-    journal = read_journal(spark, importer.path("journal"))
-    report = import_report(journal, sum(c["read"] for c in counts.values()))
-    assert report["categories"]["duplicate"] == 2 and report["categories"]["partial_date"] == 1 + 1
+    report = import_report(read_journal(spark, importer.journal), rows_of(importer))
+    assert report["documents"]["diagnostics"]["duplicate"] == 1 and report["documents"]["errors"]["partial_date"] == 0
+    assert report["financial_transactions"]["errors"] | {"other_parse": 0} == {c: 1 if c in ("partial_date", "unknown_model") else 0 for c in CATEGORIES}
+    assert report["chunks"]["quarantine_reasons"] == {"Conflicting unique key": 1, "Required document_id reference does not resolve: 999": 1}
+    assert report["provenance/runs"]["links"] == 2 and report["provenance/runs"]["errors"]["partial_timestamp"] == 1
+    odd = read_journal(spark, importer.journal).where("kind = 'quarantine' and layer = 'documents'").first()
+    assert "doc-three" in odd.record and odd.reason == "NUL character in full_text"
+    write_report(spark, report, str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text())["documents"]["read"] == 4
+    with pytest.raises(ValueError, match="manifest"):
+        import_report(read_journal(spark, importer.journal), {k: v for k, v in rows_of(importer).items() if k != "persons"})
     snapshot = {t: importer.stored(t).count() for t in ("documents", "chunks", "provenance_files", "provenance_files_models")}
-    again = Importer(spark, importer.shards, importer.target).run()
+    second = Importer(spark, importer.shards, importer.target)
+    again = second.run()
     assert all(c["accepted"] == 0 and c["duplicate"] == counts[k]["duplicate"] + counts[k]["accepted"] for k, c in again.items())
     assert snapshot == {t: importer.stored(t).count() for t in snapshot}
+    assert import_report(read_journal(spark, second.journal), rows_of(importer))["documents"]["existing"] == 2
+
+
+def test_broken_journal_lines_are_named(spark, tmp_path):
+    (tmp_path / "j.json").write_text('{"event":"run","status":"started"}\n{"event":\n')
+    with pytest.raises(ValueError, match="j.json, line 2"):
+        read_journal(spark, str(tmp_path))
+
+
+@pytest.fixture
+def fresh(spark, tmp_path):
+    shards = {}
+    for layer in ("documents", "provenance/runs"):
+        schema = spark.createDataFrame([], LAYERS[layer].schema).schema
+        path = str(tmp_path / layer.replace("/", "_"))
+        spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in SOURCES[layer]], schema).coalesce(1).write.parquet(path)
+        shards[layer] = [path]
+    return Importer(spark, shards, str(tmp_path / "tables"))
+
+
+def test_a_layer_that_fails_leaves_nothing(spark, fresh, monkeypatch):
+    check = fresh.check_staged
+
+    def broken(expected, folders):
+        if "provenance_runs" in folders:
+            raise KeyboardInterrupt
+        check(expected, folders)
+
+    monkeypatch.setattr(fresh, "check_staged", broken)
+    with pytest.raises(KeyboardInterrupt):
+        fresh.run()
+    # The layer before is there, and of the one that failed neither table nor bridge, nor a folder that nobody knows.
+    assert fresh.stored("documents").count() == 2
+    assert fresh.stored("provenance_runs").count() == fresh.stored("provenance_runs_models").count() == 0
+    known = {f for own in fresh.catalog.parts().values() for f in own}
+    assert {f"provenance_runs/{x.name}" for x in Path(fresh.target, "provenance_runs").iterdir()} <= known
+    with pytest.raises(ValueError, match="rolled back"):
+        import_report(read_journal(spark, fresh.journal), {"documents": {}, "provenance/runs": {}})
+    monkeypatch.setattr(fresh, "check_staged", check)
+    assert Importer(spark, fresh.shards, fresh.target).run()["provenance/runs"]["accepted"] == 1
+
+
+def test_a_write_that_differs_is_not_published(fresh, monkeypatch):
+    stage = fresh.catalog.stage
+    monkeypatch.setattr(fresh.catalog, "stage", lambda df, table: stage(df.limit(1) if table == "documents" else df, table))
+    with pytest.raises(ValueError, match="differs from what was accepted"):
+        fresh.run()
+    assert fresh.stored("documents").count() == 0
+
+
+def test_vocabularies_and_vectors(spark, fresh):
+    fresh.run()
+    docs = fresh.stored("documents")
+    fresh.catalog.publish({}, {"documents": fresh.catalog.stage(docs.withColumn("full_text_searchvec", F.lit(None).cast(docs.schema["full_text_searchvec"].dataType)), "documents")})
+    assert fresh.backfill_vectors("documents") == 2 and fresh.backfill_vectors("documents") == 0
+    assert fresh.stored("documents").where("full_text_searchvec is null").count() == 0
+    fresh.catalog.publish({}, {"models": fresh.catalog.stage(spark.createDataFrame([(1, "other")], "id smallint, label string"), "models")})
+    with pytest.raises(ValueError, match="models"):
+        fresh.check_vocabularies()
