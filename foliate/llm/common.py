@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_dir, written
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Folders of this machine, by application, where no shared one is configured.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a folder of this machine only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="foliate-")
-        where = _own[app]
-    return where.rstrip("/")
-
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,10 +19,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there, and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def n_words(text: Column) -> Column:

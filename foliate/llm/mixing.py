@@ -60,15 +60,16 @@ def _running(rows: DataFrame, keys: list[str], order: list[Column], size: str, o
 def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 20250, share: float = 1.0) -> DataFrame:
     """(doc_id, source, text) to one row a document: __doc_id, __source, size, source_size, target, repeats, taken.
 
-    Equal rows are told apart by their place in a written table, so repeated rows queue separately. Texts that are null
+    Documents queue in the order of a hash of doc_id and text, so rows without an id are spread like others. Rows that repeat
+    with both are interchangeable: they stand next to each other in the queue and share out what they are taken. Texts that are null
     or have no word have size 0 and are taken 0 times. Columns other than doc_id, source and text are not looked at. No
     rows in, no rows out. Finish times are compared as doubles, ties by source, round and hash. The result depends on the
     rows alone, so reruns agree. A document goes in whole, up to max_epochs times: each source ends within one document
     of its target.
     """
-    rows = docs.select(F.col("doc_id").alias("d"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"))
-    shuffled = F.md5(F.concat_ws("/", F.coalesce(F.col("d").cast("string"), F.lit("-")), F.lit(str(seed))))
-    rows = stash(rows.withColumn("h", shuffled), "mix-sizes")
+    shuffled = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(str(seed)), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    rows = docs.select(F.col("doc_id").alias("d"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), shuffled.alias("h"))
+    rows = stash(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sources.select("source", "source_size"), weights, max_epochs, share)
     targets = stash(targets.join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
@@ -92,11 +93,11 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     rounds = rounds.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(slices)).cast("long")).withColumn("all", F.lit(0))
     order = [F.col("finish"), F.col("rank"), F.col("round"), F.col("h"), F.col("d")]
     served = _running(rounds.select("d", "h", "size", "rank", "round", "finish", "slice", "all"), ["all", "slice"], order, "size", "served")
-    taken = served.where(F.col("served") <= F.lit(total + 1e-6)).groupBy("rank", "h", "d", "size").agg(F.count("*").alias("k"))
+    taken = served.where(F.col("served") <= F.lit(total + 1e-6)).groupBy("rank", "h", "size").agg(F.count("*").alias("k"))
     # Repeated rows share a key here: they finish one after another, so the k rounds are dealt to them in turn.
-    turn = Window.partitionBy("rank", "h", "d", "size").orderBy("cum")
-    same = Window.partitionBy("rank", "h", "d", "size")
-    out = cum.withColumn("i", F.row_number().over(turn) - 1).withColumn("m", F.count("*").over(same)).join(taken, ["rank", "h", "d", "size"], "left")
+    turn = Window.partitionBy("rank", "h", "size").orderBy("cum")
+    same = Window.partitionBy("rank", "h", "size")
+    out = cum.withColumn("i", F.row_number().over(turn) - 1).withColumn("m", F.count("*").over(same)).join(taken, ["rank", "h", "size"], "left")
     repeats = F.floor((F.coalesce("k", F.lit(0)) + F.col("m") - 1 - F.col("i")) / F.col("m")).cast("long")
     return out.select(F.col("d").alias("__doc_id"), F.col("source").alias("__source"), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
@@ -108,10 +109,11 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     """
     mixed = fair_mix(docs.select("doc_id", "source", "text"), weights, max_epochs)
     # A row for each different (doc_id, source, size), with how many rows it stands for and the rounds that all of them get.
-    per = mixed.groupBy(F.col("__doc_id").alias("__d"), F.col("__source").alias("__s"), F.col("size").alias("__n")).agg(F.sort_array(F.collect_list("repeats"), False).alias("__rounds"))
-    sized = docs.withColumn("__size", n_words(F.col("text")))
-    joined = sized.join(stash(per, "mix-rounds"), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
-    many = Window.partitionBy("__d", "__s", "__n").orderBy("text")
-    one = joined.where(F.size("__rounds") == 1).withColumn("__k", F.get("__rounds", F.lit(0)))
-    more = joined.where(F.size("__rounds") > 1).withColumn("__k", F.get("__rounds", F.row_number().over(many) - 1))
-    return one.unionByName(more).withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__k").cast("int")))).select(*docs.columns)
+    per = mixed.groupBy(F.col("__doc_id").alias("d"), F.col("__source").alias("s"), F.col("size").alias("n")).agg(F.sort_array(F.collect_list("repeats"), False).alias("rounds"))
+    # The rows go along as one column, so that no name of theirs meets one of these.
+    whole = docs.select(F.struct(*docs.columns).alias("row")).select("row", n_words(F.col("row.text")).alias("size"))
+    joined = whole.join(stash(per, "mix-rounds"), F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
+    many = Window.partitionBy("d", "s", "n").orderBy("row.text")
+    one = joined.where(F.size("rounds") == 1).withColumn("k", F.get("rounds", F.lit(0)))
+    more = joined.where(F.size("rounds") > 1).withColumn("k", F.get("rounds", F.row_number().over(many) - 1))
+    return one.unionByName(more).withColumn("i", F.explode(F.array_repeat(F.lit(0), F.col("k").cast("int")))).select("row.*")

@@ -11,7 +11,7 @@ few others, of which there can be at most RARE times the shingles of a mean docu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +29,9 @@ BANDS, ROWS = 12, 4
 RARE = 100
 #: Rows and bytes of texts that are compared with as many others in one task.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
-#: 64-bit words of the filter that spares texts a join, and the keys up to which it is used.
-FILTER_WORDS, FILTER_KEYS = 1 << 14, 100_000
+#: 64-bit words of the filter that spares texts a join: about eight bits a key, and no more than these, past which it lets
+#: more and more texts through that it needn't.
+LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 19
 #: Documents over which a task looks for frequent shingles at a time.
 CHUNK_DOCS = 2000
 
@@ -295,22 +296,36 @@ def _links_in_buckets(rest: DataFrame, texts: DataFrame, weights, threshold: flo
     return stash(full.groupBy("k", "i", "j").applyInArrow(run, "a binary, b binary"), "neardup-links")
 
 
-def _maybe_in(digests: DataFrame) -> Column | None:
-    """Whether column `digest` may be among digests, by a Bloom filter of fixed size: true for all that are. None, which
-    spares nothing, if they are too many for it.
-    """
-    if digests.count() > FILTER_KEYS:
-        return None
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(j)), F.lit(64 * FILTER_WORDS)) for j in range(4)]
-    at = digests.select(F.explode(F.array(*places(F.col("digest")))).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
-    rows = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most FILTER_WORDS
-    found = dict(map(tuple, rows))
-    words = F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(FILTER_WORDS))), ",").cast("array<bigint>")
-    out = F.lit(True)
-    for p in places(F.col("digest")):
-        out = out & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64))) == 1)
-    return out
+def _places(digests: pa.Array, words: int) -> np.ndarray:
+    """Two bits of a filter for each digest, as rows."""
+    halves = np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
+    return (mix(halves) % np.uint64(64 * words)).astype(np.int64)
+
+
+def _maybe_in(digests: DataFrame) -> Callable[[Column], Column]:
+    """Whether a digest may be among digests: true for all that are. A Bloom filter, sized by the number of digests."""
+    words = int(min(max(digests.count() // 8, LEAST_WORDS), MOST_WORDS))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(words, np.uint64)
+        for batch in batches:
+            at = _places(batch.column(0), words).ravel()
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        some = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bits[some].view(np.int64))], names=["word", "bits"])
+
+    found = digests.select("digest").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most `words`
+    bits = np.zeros(words, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = digests.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(column: pa.Array) -> pa.Array:
+        at = _places(column, len(shared.value))
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool).all(axis=1))
+
+    return maybe
 
 
 def _digest(text: Column) -> Column:
@@ -320,7 +335,7 @@ def _digest(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = RARE) -> DataFrame:
     """(doc_id, text) to (doc_id, digest, class_id, kept), a row a document.
 
-    Equal texts are one text and are sampled, banded and verified once. class_id is the smallest doc_id of a class; kept is
+    Equal texts are one text and are sampled, banded and verified once. class_id is the smallest doc_id of a class, null only if no row of it has one; kept is
     true for the rows of the text of that smallest doc_id (rows that repeat it included: keep_one() leaves one of them).
     Links are the pairs of texts that share a band and reach the threshold; where texts are connected already their other
     links aren't looked for, as they change no class. Texts are compared whole, A-Z as a-z. A text of
@@ -363,7 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     wanted = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnRenamed("digest", "d")
     wanted = stash(wanted, "neardup-wanted")
     maybe = _maybe_in(wanted.select(F.col("d").alias("digest")))
-    own = (read if maybe is None else read.where(maybe)).join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    own = read.where(maybe(F.col("digest"))).join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = stash(own.select("digest", "text").dropDuplicates(["digest"]), "neardup-candidates")
     links = _verified(stars, texts, weights, threshold)
 
@@ -377,7 +392,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
 
     names = stash(components(links), "neardup-classes").withColumnRenamed("node", "digest")
     classes = nodes.select("digest", "rep").join(names, "digest", "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
-    best = classes.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("best"))
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "digest")).alias("best"))
     classes = stash(classes.join(best, "label").select("digest", F.col("best.rep").alias("class_id"), (F.col("digest") == F.col("best.digest")).alias("is_best")), "neardup-result")
     found = signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", (F.col("is_best") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
     alone = docs.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
@@ -392,14 +407,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("kept").alias("all_kept"))
     moving = stash(per.where("n > 1 or not all_kept").select("digest"), "neardup-moving")
     maybe = _maybe_in(moving)
-    own = docs.where("text is not null").withColumn("digest" if "digest" not in columns else "__own", _digest(F.col("text").cast("string")))
-    if "digest" in columns:
-        own = own.withColumnRenamed("digest", "__theirs").withColumnRenamed("__own", "digest")
-    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    judged = own if maybe is None else own.where(maybe)
-    chosen = judged.join(kept, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "digest"])
-    if maybe is not None:
-        chosen = own.where(~maybe).unionByName(chosen)
-    if "digest" in columns:
-        chosen = chosen.drop("digest").withColumnRenamed("__theirs", "digest")
-    return chosen.select(*columns).unionByName(docs.where("text is null"))
+    # The rows go along as one column, so that no name of theirs meets one of these.
+    own = docs.where("text is not null").select(F.struct(*columns).alias("row"), "doc_id", _digest(F.col("text")).alias("digest"))
+    own = own.withColumn("maybe", maybe(F.col("digest")))
+    kept = rows.where("kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("d")).distinct()
+    chosen = own.where("maybe").join(kept, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "digest"])
+    return own.where("not maybe").select("row.*").unionByName(chosen.select("row.*")).unionByName(docs.where("text is null"))

@@ -11,7 +11,7 @@ _RULES = " UNION ALL ".join(f"SELECT '{h}' AS rh, '{p}' AS rp, '{v}' AS rv" for
 _DOMAINS = ", ".join(f"('{x}')" for x in BLOCK_DOMAINS)
 
 MIXING = rf"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  md5(concat(coalesce(CAST(doc_id AS VARCHAR), '-'), '/20250')) AS h FROM documents),
+  md5(concat(coalesce(CAST(doc_id AS VARCHAR), '-'), '/20250/', md5(coalesce(text, '')))) AS h FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank, CAST(source_size AS DOUBLE) * {MAX_EPOCHS} AS cap FROM sums),
 weighed AS (SELECT *, CAST(list_extract([{", ".join(map(str, WEIGHTS))}], CAST(rank % {len(WEIGHTS)} + 1 AS INTEGER)) AS DOUBLE) AS weight FROM ranked),

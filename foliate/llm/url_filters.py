@@ -2,7 +2,7 @@
 
 A key is a domain and the start of a path, like `example.org/es/`. The corpus's URLs have a complete universe of keys:
 every suffix of every host, with every path start of a length that the lists use. Level 1 of a cascade is a Bloom filter of
-the listed keys, level 2 one of the unlisted keys that level 1 lets through, level 3 one of the listed keys that level 2
+the listed keys, made from the list alone; only what it lets through is looked up in the list. Level 2 is a filter of the unlisted keys that level 1 lets through, level 3 one of the listed keys that level 2
 lets through, and so on until a level lets nothing through that it should stop. For every key of the universe the first
 level that stops it then tells exactly whether it is listed.
 """
@@ -50,29 +50,47 @@ def _passes(key: Column, number: int, level: Level) -> Column:
     return out
 
 
-def build_cascade(keys: DataFrame, first_rate: float = FIRST_RATE, rate: float = RATE, max_words: int = MAX_FILTER_WORDS) -> list[Level] | None:
-    """The levels for rows (key string, listed boolean), all keys different; None if a level passes max_words."""
-    levels: list[Level] = []
-    left = keys
+def _level(keys: DataFrame, number: int, n: int, rate: float, max_words: int) -> Level | None:
+    """A Bloom filter of n rows (key), None if it passes max_words."""
+    hashes = max(1, round(-math.log2(rate)))
+    bits = 64 * max(1, math.ceil(n * hashes / math.log(2) / 64))
+    if bits // 64 > max_words:
+        return None
+    ones = keys.select(F.explode(F.array(*_probes(F.col("key"), number, bits, hashes))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+    rows = ones.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most max_words
+    found = dict(map(tuple, rows))
+    return Level(bits, hashes, tuple(found.get(i, 0) for i in range(bits // 64)))
+
+
+def build_cascade(lists: DataFrame, universe: DataFrame, first_rate: float = FIRST_RATE, rate: float = RATE, max_words: int = MAX_FILTER_WORDS) -> list[Level] | None:
+    """The levels for listed keys (key) over a universe (key), each key once in both; None if a level passes max_words.
+
+    The keys that level 1 lets through, of which about first_rate are not listed, are all that is ever looked up in the list.
+    """
+    n = lists.count()
+    if not n:
+        return []
+    first = _level(lists, 1, n, first_rate, max_words)
+    if first is None:
+        return None
+    levels = [first]
+    passed = universe.where(_passes(F.col("key"), 1, first))
+    known = lists.select(F.col("key").alias("listed_key"))
+    left = stash(passed.join(known, F.col("key") == F.col("listed_key"), "left").select("key", F.col("listed_key").isNotNull().alias("listed")), "url-keys")
     while True:
         number = len(levels) + 1
         inside = F.col("listed") if number % 2 else ~F.col("listed")
-        n = left.where(inside).count()
+        own = left.where(inside)
+        n = own.count()
         if not n:
             return levels
-        p = first_rate if number == 1 else rate
-        hashes = max(1, round(-math.log2(p)))
-        bits = 64 * max(1, math.ceil(n * hashes / math.log(2) / 64))
-        if bits // 64 > max_words:
+        level = _level(own, number, n, rate, max_words)
+        if level is None:
             return None
-        at = F.explode(F.array(*_probes(F.col("key"), number, bits, hashes)))
-        ones = left.where(inside).select(at.alias("at"))
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
-        rows = ones.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most max_words
-        found = dict(map(tuple, rows))
-        levels.append(Level(bits, hashes, tuple(found.get(i, 0) for i in range(bits // 64))))
+        levels.append(level)
         # What goes on: the keys that this level should stop and doesn't, and those it encodes.
-        left = left.where(inside | _passes(F.col("key"), number, levels[-1]))
+        left = left.where(inside | _passes(F.col("key"), number, level))
 
 
 def listed(key: Column, levels: list[Level]) -> Column:
@@ -128,12 +146,10 @@ def filter_urls(pages: DataFrame, allow: tuple = ALLOW_RULES, block: tuple = BLO
     starts = F.substring("__path", 1, max(lengths))
     distinct = base.select("__host", starts.alias("__path")).distinct()
     universe = distinct.select(F.explode(_keys(lengths)).alias("key")).distinct()
-    lists = domains.select(F.col(domains.columns[0]).alias("listed_key")).where("listed_key is not null").distinct().withColumn("is_domain", F.lit(True))
-    universe = stash(
-        universe.join(lists, F.col("key") == F.col("listed_key"), "left").select("key", F.coalesce("is_domain", F.lit(False)).alias("is_domain"), F.col("key").isin(list(rules)).alias("is_rule")), "url-keys"
-    )
-    rule_levels = build_cascade(universe.select("key", F.col("is_rule").alias("listed")), max_words=max_words)
-    domain_levels = build_cascade(universe.select("key", F.col("is_domain").alias("listed")), max_words=max_words)
+    universe = stash(universe, "url-universe")
+    lists = domains.select(F.col(domains.columns[0]).alias("key")).where("key is not null").distinct()
+    rule_levels = build_cascade(spark.createDataFrame([(k,) for k in rules], "key string"), universe, max_words=max_words)
+    domain_levels = build_cascade(lists, universe, max_words=max_words)
 
     keys = _keys(lengths)
     if rule_levels is None:  # too many keys that aren't rules pass level 1: the same exact answer from the rules themselves
@@ -144,7 +160,7 @@ def filter_urls(pages: DataFrame, allow: tuple = ALLOW_RULES, block: tuple = BLO
     bare = _keys([0])
     if domain_levels is None:  # too many listed domains to send: the same exact answer from a join
         hosts = distinct.select("__host").distinct().withColumn("__path", F.lit("")).select(F.col("__host").alias("__h"), F.explode(bare).alias("__k"))
-        bad = hosts.join(lists, F.col("__k") == F.col("listed_key")).select("__h").distinct().withColumn("__bad", F.lit(True))
+        bad = hosts.join(lists, F.col("__k") == F.col("key")).select("__h").distinct().withColumn("__bad", F.lit(True))
         base = base.join(bad, F.col("__host") == F.col("__h"), "left").drop("__h").withColumn("__bad", F.coalesce("__bad", F.lit(False)))
     else:
         base = base.withColumn("__bad", F.exists(bare, lambda k: listed(k, domain_levels)) if domain_levels else F.lit(False))

@@ -50,7 +50,7 @@ def test_queue_order_against_a_loop(spark):
     rank = {s: i for i, s in enumerate(sorted(sizes))}
     events = []
     for s in sizes:
-        own = sorted((hashlib.md5(f"{i}/20250".encode()).hexdigest(), i, len(words(t))) for i, t, _, src, _ in rows if src == s)
+        own = sorted((hashlib.md5(f"{i}/20250/{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest(), i, len(words(t))) for i, t, _, src, _ in rows if src == s)
         cum = 0
         for round_ in range(MAX_EPOCHS):
             for h, i, n in own:
@@ -82,3 +82,13 @@ def test_rows_are_repeated_as_taken(spark):
     want = sum(r.repeats for r in fair_mix(docs).collect())
     out = repeat_rows(docs)
     assert out.columns == docs.columns and out.count() == want
+
+
+def test_any_column_names_and_rows_without_ids(spark):
+    docs = frame(spark).selectExpr("*", "'mine' AS __d", "'mine' AS row", "'mine' AS rounds", "'mine' AS k")
+    out = repeat_rows(docs).collect()
+    assert {(r["__d"], r["row"], r["rounds"], r["k"], r["__size"]) for r in out} == {("mine", "mine", "mine", "mine", 7)}
+    rows = [(None, f"word {'x ' * (i % 9)}{i}", "en", "a", 0) for i in range(200)]
+    got = fair_mix(frame(spark, rows)).collect()
+    assert sum(r.taken for r in got) == sum(r.size for r in got)
+    assert sorted(r.text for r in repeat_rows(frame(spark, rows)).collect()) == sorted(r[1] for r in rows)

@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -152,3 +153,21 @@ def test_a_large_group_of_edited_copies(spark, monkeypatch):
     rows += [(10_000 + i, " ".join(f"o{i}x{j}" for j in range(20)), "en", "a", 0) for i in range(26_000 // 100)]
     got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, rows), rare=1 + 1e-9).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_class_id_is_never_a_null_that_stands_beside_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "a", 0), (4, text + " x", "en", "a", 0), (5, text + " y", "en", "a", 0)]
+    got = N.near_duplicates(frame(spark, rows)).collect()
+    assert {r.class_id for r in got} == {4} and [r.doc_id for r in got if r.kept] == [4]
+
+
+@pytest.mark.parametrize("most", [1, 1 << 19])
+def test_full_filters_change_nothing(spark, monkeypatch, most):
+    """A filter that lets everything through gives the same rows."""
+    monkeypatch.setattr(N, "LEAST_WORDS", 1)
+    monkeypatch.setattr(N, "MOST_WORDS", most)
+    docs = frame(spark).selectExpr("*", "1 AS maybe", "2 AS `row`")
+    out = N.keep_one(docs)
+    assert out.columns == docs.columns
+    assert out.count() == sum(r.kept for r in N.near_duplicates(docs).dropDuplicates(["doc_id", "digest", "kept"]).collect() if r.digest) + docs.where("text is null").count()

@@ -32,11 +32,9 @@ def test_odd_urls_with_filters_and_with_the_join(spark, max_words):
     rng = random.Random(1)
     more = [f"https://{rng.choice(['www.', 'm.', ''])}{rng.choice(['a', 'b', 'free-bets', 'casino-win'])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['es', 'en', 'fr', 'de'])}/{rng.randrange(30)}" for _ in range(300)]
     urls = URLS + more + more[:5]
-    if max_words:
-        got = U.filter_urls(rows(spark, urls), max_words=max_words)
-    else:
-        many = spark.createDataFrame([(x,) for x in U.BLOCK_DOMAINS], "d string")
-        got = U.filter_urls(rows(spark, urls), domains=many)
+    got = U.filter_urls(rows(spark, urls), max_words=max_words)
+    many = spark.createDataFrame([(x,) for x in (*U.BLOCK_DOMAINS, None)], "d string")
+    assert sorted(got.collect()) == sorted(U.filter_urls(rows(spark, urls), domains=many, max_words=max_words).collect())
     out = {r.page_id: (r["__host"], r["__path"], r["__rule"], r["__verdict"]) for r in got.collect()}
     assert out == {i: brute(u) for i, u in enumerate(urls)}
 
@@ -47,12 +45,27 @@ def test_empty(spark):
 
 def test_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(6000).selectExpr("concat('key', id) AS key", "id % 10 = 0 AS listed").cache()
-    levels = U.build_cascade(keys)
-    from pyspark.sql import functions as F
-
+    # The list also holds keys that the universe lacks.
+    lists = keys.where("listed").select("key").unionByName(spark.range(100).selectExpr("concat('other', id) AS key"))
+    levels = U.build_cascade(lists, keys.select("key"))
     assert len(levels) > 1
-    assert keys.where(U.listed(F.col("key"), levels) != F.col("listed")).count() == 0
-    assert U.build_cascade(keys, max_words=1) is None
+    assert keys.where(U.listed(U.F.col("key"), levels) != U.F.col("listed")).count() == 0
+    assert U.build_cascade(lists, keys.select("key"), max_words=1) is None
+    assert U.build_cascade(lists.limit(0), keys.select("key")) == []
+
+
+@pytest.mark.parametrize("max_words", [1, 2, 4])
+def test_small_filters_give_the_same(spark, max_words):
+    """Some levels fit and others don't."""
+    urls = [f"http://h{i}.example.com/{'de' if i % 3 else 'fr'}/{i}" for i in range(400)] + URLS
+    got = U.filter_urls(rows(spark, urls), domains=tuple(f"h{i}.example.com" for i in range(0, 400, 7)), max_words=max_words)
+    bad = {f"h{i}.example.com" for i in range(0, 400, 7)}
+    for r in got.collect():
+        want = brute(r.url)
+        if want[2] is None:
+            labels = want[0].split(".")
+            want = (*want[:3], "block" if any(".".join(labels[k:]) in bad for k in range(len(labels))) else "allow")
+        assert (r["__host"], r["__path"], r["__rule"], r["__verdict"]) == want
 
 
 def test_rules_and_domains_beyond_the_filters(spark):
