@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.trigrams import similar_pairs
@@ -45,8 +45,8 @@ def similar_name_groups(items: DataFrame, name: str, amount: str, threshold: flo
     amounts are decimals; null amounts don't count, and a name with no other is left out.
     """
     sums = items.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sum(amount).alias("total"), F.count("*").alias("n")).where("total > 0")
-    sums = written(sums.withColumn("id", F.row_number().over(Window.orderBy("name"))), "name-sums")  # a row a name
-    pairs = similar_pairs(sums, "id", "name", threshold)
-    groups = connected_components(pairs, sums.select(F.col("id").alias("node")))
-    joined = sums.join(groups, F.col("id") == F.col("node"))
+    sums = written(sums, "name-sums")  # a row a name
+    pairs = similar_pairs(sums, "name", "name", threshold)
+    groups = connected_components(pairs, sums.select(F.col("name").alias("node")))
+    joined = sums.join(groups, F.col("name") == F.col("node"))
     return joined.groupBy("group_id").agg(F.sort_array(F.collect_list("name")).alias("names"), F.sum("total").alias("total_amount"), F.sum("n").alias("n")).drop("group_id")
