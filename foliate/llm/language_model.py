@@ -2,21 +2,22 @@
 
 Every word has a restaurant whose customers are the words seen after it. The tables of all restaurants of words with one
 ending are the customers of that class's restaurant, the tables of all classes those of the root, whose base is uniform over
-the vocabulary and one unknown word. Seatings are sampled by Gibbs: each word's tables in a restaurant are drawn given all
-other tables, and the predictive probabilities of several samples are averaged. Restaurants of words grow with the corpus;
-classes and root are bounded, and their counts are told to everyone.
-
-Words are dealt by hash: all customers who order one word, in any restaurant, and all places in texts where it is to be
-scored are in one task, which can therefore seat and score it without a model that is sent around. A word's owner also sums
-the tables of its restaurant, which lie with the words after it, and answers each task that asks. Hot words as orders would
-be too much for a task: after a word that isn't hot they are with that word's owner, after a hot one their counts are summed
-before they move. Their seatings in classes and after hot words (at most HOT words by CLASSES, and by HOT) are told to all.
+the vocabulary and one unknown word. Seatings are a chain of Gibbs samples: in a sweep each pair's number of tables is drawn
+given all others of the last sweep. After each sweep the tables of every restaurant are counted anew, and a sample predicts
+with its own counts, so its probabilities sum to one. The predictions of several samples are averaged.
+
+Texts are read in chunks, and what moves is each chunk's different pairs of a word and its context with their counts, once.
+Words are dealt by hash: all pairs that order one word are in one task, which can therefore seat them without a model that is
+sent around; what a task can't know, the tables of its contexts, other tasks are asked for. Hot words, of which there are
+few, are dealt by word and class, and their counts at the root are told to all. Scores go back to the chunks, one for each
+pair in the order in which it came, and the texts are read again to add them up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,51 +25,60 @@ import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import drop
 from .common import fresh_path, stash
-from .words import Batch, slices, split
+from .words import Batch, mix, slices, split, tidy
 
 #: A word that makes up at least one of so many training tokens is hot.
 HOT = 1000
 #: Classes of words by their ending; the beginning of a text is one more.
-CLASSES = 1024
+CLASSES = 1023
+KINDS = CLASSES + 1
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
-#: Documents that are numbered together, and places of words that are scored in one task.
-BATCH_DOCS, TASK_PLACES = 4000, 1_500_000
-#: Exchanges of the restaurants' table counts; sweeps before samples are taken; samples whose predictions are averaged.
-ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
+#: Tokens of the texts that are read together, and tokens whose pairs one task seats.
+CHUNK_TOKENS, TASK_TOKENS = 2_500_000, 2_500_000
+#: Sweeps before samples are taken; samples whose predictions are averaged.
+BURN_IN, SAMPLES = 1, 2
 CONCENTRATION = 1.0
 #: Up to so many customers, table counts are drawn from their exact conditional distribution.
-EXACT = 64
+EXACT = 1024
+#: Parallel seatings of dishes with more customers.
+LANES = 32
 SEED = 7151
+#: Scores of pairs go back to the chunks in steps of this part of a decimal digit.
+STEPS = 4000
 
 #: The end of a text: a name that no word's hash is likely to have.
 END = np.uint64(0xE5D0F7E87E5D0F7E)
-#: What comes before a text's first word. Contexts are named by the upper 48 bits of their word's hash.
-BEGIN = np.uint64(0xBE61F7E87E5D0F7E)
-KINDS = CLASSES + 1
+#: Contexts are named by 48 bits: their class and 38 bits of their hash. This is the beginning of a text.
+CLASS_SHIFT = np.uint64(38)
+BEGIN = np.uint64(CLASSES << 38)
 
 
 @dataclass(frozen=True)
 class State:
-    """What everyone knows: tokens N, vocabulary V, discounts, and by class its customers and tables; root's customers and tables.
-
-    d2 is the discount of words' restaurants, hot_customers and hot_tables are those of hot words' and the beginning's.
-    """
+    """What everyone knows of a sample: tokens N, vocabulary V, discounts of root, classes and words, by class its customers
+    and tables, the root's customers and tables, and those of each hot word at the root."""
 
     tokens: int
     vocabulary: int
     d0: float
     d1: float
+    d2: float
     customers: np.ndarray
     tables: np.ndarray
     root_customers: float
     root_tables: float
-    d2: float = 0.5
-    hot_customers: np.ndarray | None = None
-    hot_tables: np.ndarray | None = None
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The root's probability of words with so many customers and tables."""
+        base = (CONCENTRATION + self.d0 * self.root_tables) / (self.vocabulary + 1)
+        return (np.maximum(customers - self.d0 * tables, 0) + base) / (CONCENTRATION + self.root_customers)
 
 
 def _tokens(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +119,86 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held").mapInArrow(run, "word long, n long, kind short").groupBy("word").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
 
 
+# Chunks of texts and their pairs
+
+
+@dataclass
+class Chunk:
+    """Texts read together: their ids and flags, and for each token its text, hash and context."""
+
+    number: int
+    doc_id: pa.Array
+    held: np.ndarray
+    doc: np.ndarray
+    tok: np.ndarray
+    context: np.ndarray
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Chunks of (doc_id, text, held), cut alike whenever the same rows are read in the same parts."""
+    part, seq = TaskContext.get().partitionId(), 0
+    rows: list[pa.RecordBatch] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    size = texts = 0
+
+    def close() -> Chunk:
+        tok, doc, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        name = kind.astype(np.uint64) << CLASS_SHIFT | tok >> np.uint64(64 - 38)
+        context = np.concatenate((name[:1], name[:-1]))
+        context[_runs(doc)] = BEGIN
+        held = np.concatenate([np.array(r.column("held"), bool) for r in rows])
+        return Chunk(part << 32 | seq, pa.concat_arrays([r.column("doc_id") for r in rows]), held, doc, tok, context)
+
+    for batch in (x for whole in batches for x in slices(whole, 1)):
+        tok, doc, kind = _tokens(split(batch.column(1), lower=True))
+        rows.append(batch.select(["doc_id", "held"]))
+        parts.append((tok, doc + texts, kind))
+        size, texts = size + len(tok), texts + batch.num_rows
+        if size >= CHUNK_TOKENS:
+            yield close()
+            rows, parts, size, texts, seq = [], [], 0, 0, seq + 1
+    if rows:
+        yield close()
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Whether a place differs from the one before in any key."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def _is_in(x: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is among sorted ones, and its place there."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return sorted_[at] == x, at
+
+
+def _owner(x: np.ndarray, tasks: int) -> np.ndarray:
+    return ((x >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+
+
+def _pairs(chunk: Chunk, hot: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(task, word, context) of a chunk's different pairs, in that order, and the pair of each token."""
+    order = np.lexsort((chunk.context, chunk.tok))
+    tok, context = chunk.tok[order], chunk.context[order]
+    new = _runs(tok, context)
+    number = np.cumsum(new) - 1
+    tok, context = tok[new], context[new]
+    spread = np.where(_is_in(tok, hot)[0], mix(tok + (context >> CLASS_SHIFT) * np.uint64(0x9E3779B97F4A7C15)), tok)
+    task = _owner(spread, tasks)
+    by = np.argsort(task, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    pair = np.empty(len(order), np.int64)
+    pair[order] = place[number]
+    return task[by], tok[by], context[by], pair
+
+
 def _names(x: np.ndarray) -> bytes:
     """Names of contexts, six bytes each."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -120,139 +210,81 @@ def _read_names(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _owner(name: np.ndarray, tasks: int) -> np.ndarray:
-    return ((name >> np.uint64(16)) * np.uint64(tasks)) >> np.uint64(32)
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _number(docs: DataFrame, hot: np.ndarray, tasks: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Numbers tokens and writes them: a row a batch of texts with the hot words after hot ones in order, and rows (task,
-    batch) with the others: of kind 1 other words, each with the words before its places; of kind 2 other words, each with
-    the hot words after them.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+COUNTED = "task int, chunk long, words binary, per_word binary, contexts binary, n binary"
+
+
+def _count(docs: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
+    """For each chunk and task the chunk's pairs that are the task's, with how often they occur in training texts."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["kind", "task", "batch", "doc_id", "held", "a", "b", "c", "d", "e"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_, part, seq = shared.value, TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_DOCS):
-                batch = whole.slice(start, BATCH_DOCS)
-                number, seq = part << 32 | seq, seq + 1
-                tok, doc, ending = _all_tokens(batch, 1)
-                at = np.minimum(np.searchsorted(hot_, tok), max(len(hot_) - 1, 0))
-                is_hot = hot_[at] == tok if len(hot_) else np.zeros(len(tok), bool)
-                before, before_kind, before_at, before_hot = (np.concatenate((x[:1], x[:-1])) for x in (tok, ending, at, is_hot))
-                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                before[first], before_kind[first], before_at[first], before_hot[first] = BEGIN, CLASSES, len(hot_), True
-                n = np.bincount(doc, minlength=batch.num_rows).astype(np.uint32)
-                near = is_hot & before_hot
-                n_hot = np.bincount(doc[near], minlength=batch.num_rows).astype(np.uint32)
-                rows = [(0, 0, number, True, n.tobytes(), n_hot.tobytes(), at[near].astype(np.uint16).tobytes(), before_at[near].astype(np.uint16).tobytes(), b"")]
-                for side, key, which in ((1, tok, ~is_hot), (2, before, is_hot & ~before_hot)):
-                    other = np.flatnonzero(which)
-                    other = other[np.argsort(key[other], kind="stable")]
-                    cuts = np.searchsorted(_owner(key[other] >> np.uint64(16), tasks), np.arange(tasks + 1, dtype=np.uint64))
-                    for r, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                        if s < e:
-                            own = other[s:e]
-                            word, head, count = np.unique(key[own], return_index=True, return_counts=True)
-                            if side == 1:
-                                d, more = before_kind[own], _names(before[own] >> np.uint64(16))
-                            else:
-                                d, more = at[own], before_kind[own[head]].astype(np.uint16).tobytes()
-                            rows.append((side, r, number, False, word.tobytes(), count.astype(np.uint32).tobytes(), doc[own].astype(np.uint16).tobytes(), d.astype(np.uint16).tobytes(), more))
-                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows, *[batch.num_rows] * (len(rows) - 1)], pa.int32()), batch.column("doc_id"))
-                cols = list(zip(*rows, strict=True))
-                # The flags go with every row, as words of held-out texts are scored and not counted.
-                flags = np.packbits(np.array(batch.column("held"), bool)).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), ids, pa.array([flags] * len(rows), pa.binary()), *(pa.array(x, pa.binary()) for x in cols[4:])], names=names
-                )
-
-    schema = f"kind int, task int, batch long, doc_id array<{kind}>, held binary, a binary, b binary, c binary, d binary, e binary"
-    docs.select("doc_id", "text", "held").mapInArrow(run, schema).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    both = docs.sparkSession.read.schema(schema).parquet(path)
-    return both.where("kind = 0").drop("kind", "task", "e"), both.where("kind > 0").drop("doc_id")
-
-
-def _unpack(flags: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)
-
-
-PACKED = "task int, batches array<bigint>, words binary, kinds binary, leaves binary, up binary, names binary, context binary, seen binary, places binary, place binary"
+        for chunk in _chunks(batches):
+            task, word, context, pair = _pairs(chunk, shared.value, tasks)
+            n = np.bincount(pair[~chunk.held[chunk.doc]], minlength=len(task)).astype(np.uint32)
+            new = _runs(task, word)
+            starts = np.flatnonzero(new)
+            per_word = np.diff(np.concatenate((starts, [len(task)]))).astype(np.uint32)
+            cuts = np.flatnonzero(_runs(task)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(task)], strict=True):
+                a, b = np.searchsorted(starts, (s, e)).tolist()
+                yield _rows(COUNTED, [(int(task[s]), chunk.number, word[starts[a:b]].tobytes(), per_word[a:b].tobytes(), _names(context[s:e]), n[s:e].tobytes())])
 
+    return docs.mapInArrow(run, COUNTED)
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Whether a place differs from the one before in any key."""
-    out = np.zeros(len(keys[0]), bool)
-    out[:1] = True
-    for k in keys:
-        out[1:] |= k[1:] != k[:-1]
-    return out
 
+PACKED = "task int, chunks array<bigint>, sizes binary, inverse binary, hot binary, per_word binary, up binary, n binary, names binary"
 
-def _gather(others: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Brings the rows of a task together: its words, the pairs (word, class) of each, the pairs (word, context) of each of
-    those, and the places of each; then the pairs (context, hot word) of the contexts that it owns, and their places.
 
-    words: classes of each word; kinds: class of each of those pairs; leaves: contexts of each of those; up: place in the
-    table hot x KINDS of the pairs of hot words. context, seen and places: context, training count and number of places of
-    each pair. Contexts up to len(hot) are hot words and the beginning, those beyond stand in names. place: for each place,
-    the batch's index in batches and the text's in the batch, 16 bits each.
+def _gather(counted: DataFrame, hot: np.ndarray) -> tuple[DataFrame, str]:
+    """Brings the rows of a task together: its words, the pairs of each, the contexts' names, and where each chunk's pairs went.
+
+    hot: the word's place among hot words, or -1. per_word: pairs of each word. up: each pair's context as a place in names.
+    n: its count. sizes and inverse: pairs of each chunk, as differences of rising places among the task's pairs.
     """
-    shared = others.sparkSession.sparkContext.broadcast(hot)
+    shared = counted.sparkSession.sparkContext.broadcast(hot)
 
     def run(table: pa.Table) -> pa.Table:
-        hot_ = shared.value >> np.uint64(16)
-        parts = {1: [], 2: []}
-        for i, row in enumerate(table.to_batches(max_chunksize=1)):
-            side, get = row.column("kind")[0].as_py(), lambda name, t: np.frombuffer(row.column(name)[0].as_py(), t)  # noqa: B023
-            count, doc, d = get("b", np.uint32), get("c", np.uint16), get("d", np.uint16)
-            key = np.repeat(get("a", np.uint64), count)
-            flags = row.column("held")[0].as_py()
-            counted = ~_unpack(flags, len(flags) * 8)[doc]
-            where = np.uint32(i) << np.uint32(16) | doc.astype(np.uint32)
-            if side == 1:
-                parts[1].append((key, d, _read_names(row.column("e")[0].as_py()), where, counted))
-            else:
-                parts[2].append((d, np.repeat(get("e", np.uint16), count), key >> np.uint64(16), where, counted))
-        kinds = (np.uint64, np.uint16, np.uint64, np.uint32, bool)
-        a, b = ([np.concatenate(x) for x in zip(*parts[k], strict=True)] if parts[k] else [np.zeros(0, t) for t in kinds] for k in (1, 2))
-        at = np.minimum(np.searchsorted(hot_, a[2]), max(len(hot_) - 1, 0))
-        is_hot = hot_[at] == a[2] if len(hot_) else np.zeros(len(a[2]), bool)
-        begins = a[2] == BEGIN >> np.uint64(16)
-        known = is_hot | begins
-        names = np.unique(np.concatenate((a[2][~known], b[2])))
-        local = lambda x: np.searchsorted(names, x) + len(hot_) + 1
-        a[2] = np.where(begins, len(hot_), np.where(is_hot, at, local(a[2]))).astype(np.uint32)
-        b[2] = local(b[2]).astype(np.uint32)
-        a, b = ([x[order] for x in v] for v, order in ((a, np.lexsort((a[2], a[1], a[0]))), (b, np.lexsort((b[0], b[2])))))
-        by_word, by_kind, by_leaf = _runs(a[0]), _runs(a[0], a[1]), _runs(*a[:3])
-        hot_leaf = _runs(b[0], b[2])
-        add = lambda x, new: np.add.reduceat(x.astype(np.int64), np.flatnonzero(new)) if len(x) else np.zeros(0, np.int64)
-        blobs = (
-            add(by_kind, by_word).astype(np.uint32),
-            a[1][by_kind].astype(np.uint16),
-            add(by_leaf, by_kind).astype(np.uint32),
-            (b[0][hot_leaf].astype(np.int64) * KINDS + b[1][hot_leaf]).astype(np.uint32),
-            names,
-            np.concatenate((a[2][by_leaf], b[2][hot_leaf])),
-            np.concatenate((add(a[4], by_leaf), add(b[4], hot_leaf))).astype(np.uint32),
-            np.concatenate((add(np.ones(len(a[0])), by_leaf), add(np.ones(len(b[0])), hot_leaf))).astype(np.uint32),
-            np.concatenate((a[3], b[3])),
-        )
-        return pa.table([pa.array([table["task"][0].as_py()], pa.int32()), pa.array([table["batch"].to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[f.split()[0] for f in PACKED.split(", ")])
-
-    packed = others.select("kind", "task", "batch", "held", "a", "b", "c", "d", "e").groupBy("task").applyInArrow(run, PACKED)
-    path = fresh_path(others.sparkSession, "lm-words")
-    packed.write.option("compression", "zstd").parquet(path)
-    return others.sparkSession.read.schema(PACKED).parquet(path)
+        parts = []
+        for i in range(table.num_rows):
+            get = lambda name, t: np.frombuffer(table[name][i].as_py(), t)  # noqa: B023, E731
+            parts.append((np.repeat(get("words", np.uint64), get("per_word", np.uint32)), _read_names(table["contexts"][i].as_py()), get("n", np.uint32)))
+        sizes = np.array([len(p[0]) for p in parts], np.uint32)
+        word, context, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((context, word))
+        word, context = word[order], context[order]
+        new = _runs(word, context)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        n = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        word, context = word[new], context[new]
+        steps = np.diff(inverse, prepend=0)
+        first = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))
+        steps[first] = inverse[first]
+        names, up = np.unique(context, return_inverse=True)
+        starts = np.flatnonzero(_runs(word))
+        is_hot, at = _is_in(word[starts], shared.value)
+        per_word = np.diff(np.concatenate((starts, [len(word)])))
+        blobs = (sizes, steps.astype(np.uint32), np.where(is_hot, at, -1).astype(np.int16), per_word.astype(np.uint32), up.astype(np.uint32), n.astype(np.uint32))
+        return pa.Table.from_batches([_rows(PACKED, [(table["task"][0].as_py(), table["chunk"].to_pylist(), *(x.tobytes() for x in blobs), _names(names))])])
+
+    path = fresh_path(counted.sparkSession, "lm-pairs")
+    counted.groupBy("task").applyInArrow(run, PACKED).write.option("compression", "zstd").parquet(path)
+    return counted.sparkSession.read.schema(PACKED).parquet(path), path
 
 
 # Seating
 
 
+@lru_cache(4)
 def _log_stirling(d: float, n: int = EXACT) -> np.ndarray:
     """log of the generalised Stirling numbers S(c, t): the weight of all seatings of c customers at t tables."""
     s = np.full((n + 1, n + 2), -np.inf)
@@ -264,394 +296,393 @@ def _log_stirling(d: float, n: int = EXACT) -> np.ndarray:
     return s[:, : n + 1]
 
 
+def _draw(c: int, lanes: int, p: np.ndarray, others: np.ndarray, d: float, theta: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """`lanes` draws each of the tables of dishes with c customers, from their exact conditional distribution."""
+    steps = np.log((theta + d * others)[:, None] + d * np.arange(c)) + np.log(p)[:, None]
+    weight = np.cumsum(steps, 1) + stirling[c, 1 : c + 1]
+    total = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+    out = np.empty((len(p), lanes), np.int64)
+    for j in range(lanes):
+        out[:, j] = 1 + (total < (rng.random(len(p)) * total[:, -1])[:, None]).sum(1)
+    return out
+
+
+def _pick(t: np.ndarray, weight: np.ndarray, lanes: int, rng: np.random.Generator) -> np.ndarray:
+    """Lanes drawn anew by their log weights, dish by dish."""
+    total = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+    point = (np.arange(lanes) + rng.random((len(t), 1))) / lanes * total[:, -1:]
+    at = np.stack([(total < point[:, j : j + 1]).sum(1) for j in range(lanes)], 1)
+    return np.take_along_axis(t, np.minimum(at, t.shape[1] - 1), 1)
+
+
 def sample_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with c customers each, given the parent's probability p and the restaurant's other tables.
 
-    The weight of t tables is S(c, t) p**t times the product of theta + d (others + i) over i < t. Beyond EXACT customers
-    they come in one after another instead, in groups an eighth as large as those already seated.
+    The weight of t tables is S(c, t) p**t times the product of theta + d (others + i) over i < t. As many customers as
+    stirling knows are seated at once. Larger dishes begin with so many; then the others come in, in groups a 64th as large
+    as those seated, in LANES parallel seatings, of which those that got too likely are drawn anew by their weights.
     """
+    most = len(stirling) - 1
     t = np.minimum(c, 1).astype(np.int64)
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(2, EXACT + 2))
-    for n in range(2, EXACT + 1):
-        of = order[cuts[n - 2] : cuts[n - 1]]
-        for s in range(0, len(of), 1 << 16):
-            own = of[s : s + (1 << 16)]
-            steps = np.log((theta + d * others[own])[:, None] + d * np.arange(n)) + np.log(p[own])[:, None]
-            weight = np.cumsum(steps, 1) + stirling[n, 1 : n + 1]
-            total = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-            t[own] = 1 + (total < (rng.random(len(own)) * total[:, -1])[:, None]).sum(1)
-    many = order[cuts[-1] :]
-    n = np.minimum(c[many], 1).astype(np.int64)
-    while len(many):
-        a = (theta + d * (others[many] + t[many])) * p[many]
-        group = np.minimum(np.maximum(n // 8, 1), c[many] - n)
-        t[many] += rng.binomial(group, a / (a + n - d * t[many]))
-        n += group
-        going = n < c[many]
-        many, n = many[going], n[going]
+    sizes, starts = np.unique(c[order], return_index=True)
+    for n, at, end in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)][: len(sizes)], strict=True):
+        if 2 <= n <= most:
+            block = max(1, (1 << 20) // n)
+            for s in range(at, end, block):
+                own = order[s : min(s + block, end)]
+                t[own] = _draw(n, 1, p[own], others[own], d, theta, stirling, rng)[:, 0]
+    many = order[np.searchsorted(c[order], most, "right") :]
+    for s in range(0, len(many), 1 << 10):
+        own = many[s : s + (1 << 10)]
+        lanes, n = _draw(most, LANES, p[own], others[own], d, theta, stirling, rng), most
+        weight = np.zeros(lanes.shape)
+        again = 1.25 * n
+        while len(own):
+            group = np.minimum(max(n // 64, 1), c[own] - n)[:, None]
+            a = (theta + d * (others[own][:, None] + lanes)) * p[own][:, None]
+            before = lanes
+            lanes = lanes + rng.binomial(group, a / (a + n - d * lanes))
+            middle = (before + lanes) / 2
+            weight += group * np.log((theta + d * (others[own][:, None] + middle)) * p[own][:, None] + n + (group - 1) / 2 - d * middle)
+            n += max(n // 64, 1)
+            done = c[own] <= n
+            if done.any():
+                t[own[done]] = _pick(lanes[done], weight[done], 1, rng)[:, 0]
+                own, lanes, weight = own[~done], lanes[~done], weight[~done]
+            if n >= again and len(own):
+                lanes, weight, again = _pick(lanes, weight, LANES, rng), np.zeros(lanes.shape), 1.25 * n
     return t
 
 
-@dataclass
-class Dishes:
-    """Words in classes: pairs [first[i], first[i+1]) are word i's; context (the class), customers and tables of each pair."""
-
-    first: np.ndarray
-    context: np.ndarray
-    c: np.ndarray
-    t: np.ndarray
-    root: np.ndarray
-
-    @classmethod
-    def fresh(cls, per_word: np.ndarray, context: np.ndarray, seen: np.ndarray) -> Dishes:
-        """One table for every pair that was seen."""
-        t = np.minimum(seen, 1).astype(np.int64)
-        first = np.concatenate(([0], np.cumsum(per_word.astype(np.int64))))
-        d = cls(first, context.astype(np.int64), seen.astype(np.int64), t, np.zeros(len(per_word), np.int64))
-        d.root = np.minimum(d.of_words(t), 1)
-        return d
-
-    def of_words(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.first[:-1]) if len(self.first) > 1 else np.zeros(0, x.dtype)
-
-    def word_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-
-    def root_probability(self, s: State, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        base = (CONCENTRATION + s.d0 * s.root_tables) / (s.vocabulary + 1)
-        return (np.maximum(customers - s.d0 * tables, 0) + base) / (CONCENTRATION + s.root_customers)
-
-    def sweep(self, s: State, stirling: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> None:
-        """Reseats every pair given the rest, then every word at the root."""
-        word = self.word_of()
-        multi = np.flatnonzero(self.c > 1)
-        own = self.t[multi]
-        left = self.of_words(self.t)[word[multi]] - own
-        p = self.root_probability(s, left, np.minimum(self.root[word[multi]], left))
-        others = np.maximum(s.tables[self.context[multi]] - own, 0)
-        self.t[multi] = sample_tables(self.c[multi], p, others, s.d1, CONCENTRATION, stirling[1], rng)
-        customers = self.of_words(self.t)
-        base = np.full(len(customers), 1 / (s.vocabulary + 1))
-        self.root = sample_tables(customers, base, np.maximum(s.root_tables - self.root, 0), s.d0, CONCENTRATION, stirling[0], rng)
-
-    def predictive(self, s: State) -> np.ndarray:
-        """The probability of every pair's word after its context."""
-        p0 = self.root_probability(s, self.of_words(self.t), self.root)[self.word_of()]
-        u = self.context
-        return (np.maximum(self.c - s.d1 * self.t, 0) + (CONCENTRATION + s.d1 * s.tables[u]) * p0) / (CONCENTRATION + s.customers[u])
-
-
-@dataclass
-class Leaves:
-    """Words in words' restaurants: pair i is of context u[i], and its tables are customers of pair up[i] of dishes.
+class Restaurants:
+    """A task's pairs, by word and then by context: n customers and t tables of each, in context up of names.
 
-    more: customers of dishes that come from elsewhere; None where the dishes themselves are seated elsewhere.
+    Pairs of one word whose contexts are of one class have a pair of class and word above them, `over`; words is the word of
+    each of those and kinds its class. Above them is the root, which for hot words is seated elsewhere.
     """
 
-    dishes: Dishes
-    up: np.ndarray
-    u: np.ndarray
-    c: np.ndarray
-    t: np.ndarray
-    more: np.ndarray | None
-
-    @classmethod
-    def fresh(cls, dishes: Dishes, up: np.ndarray, u: np.ndarray, seen: np.ndarray, more: np.ndarray | None) -> Leaves:
-        """One table for every pair that was seen."""
-        out = cls(dishes, up, u.astype(np.int64), seen.astype(np.int64), np.minimum(seen, 1).astype(np.int64), more)
-        out.settle()
-        return out
-
-    def settle(self) -> None:
-        """Tells the dishes their customers."""
-        if self.more is None:
-            return
-        d = self.dishes
-        d.c = np.bincount(self.up, self.t, minlength=len(d.context)).astype(np.int64) + self.more
-        d.t = np.clip(d.t, np.minimum(d.c, 1), d.c)
-        customers = d.of_words(d.t)
-        d.root = np.clip(d.root, np.minimum(customers, 1), customers)
-
-    def above(self, s: State, of: np.ndarray, own: np.ndarray | int) -> np.ndarray:
-        """The class's probability of the pairs' words without their own tables."""
-        d, up = self.dishes, self.up[of]
-        c = d.c[up] - own
-        t = np.minimum(d.t[up], c)
-        gone = d.t[up] - t
-        word, k = d.word_of()[up], d.context[up]
-        left = d.of_words(d.t)[word] - gone
-        p0 = d.root_probability(s, left, np.minimum(d.root[word], left))
+    def __init__(self, row: pa.RecordBatch, i: int):
+        get = lambda name, t: np.frombuffer(row.column(name)[i].as_py(), t)
+        self.task = row.column("task")[i].as_py()
+        self.names, self.up, self.n = _read_names(row.column("names")[i].as_py()), get("up", np.uint32).astype(np.int64), get("n", np.uint32).astype(np.int64)
+        self.hot = get("hot", np.int16).astype(np.int64)
+        self.word = np.repeat(np.arange(len(self.hot)), get("per_word", np.uint32))
+        kind = (self.names >> CLASS_SHIFT).astype(np.int64)[self.up]
+        new = _runs(self.word, kind)
+        self.over, self.words, self.kinds = np.cumsum(new) - 1, self.word[new], kind[new]
+        self.multi = np.flatnonzero(self.n > 1)
+        self.is_hot = self.hot >= 0
+        self.t = np.minimum(self.n, 1)
+        self._settle()
+        self.ct = np.minimum(self.cc, 1)
+        self.rt = np.minimum(self._by_word(self.ct), 1)
+
+    def _by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.words, x, minlength=len(self.hot)).astype(np.int64)
+
+    def _settle(self) -> None:
+        """Customers of the classes' pairs."""
+        self.cc = np.bincount(self.over, self.t, minlength=len(self.words)).astype(np.int64)
+
+    def _root_counts(self, s: State) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each word at the root."""
+        c, t = self._by_word(self.ct), self.rt.copy()
+        c[self.is_hot], t[self.is_hot] = s.hot_customers[self.hot[self.is_hot]], s.hot_tables[self.hot[self.is_hot]]
+        return c, t
+
+    def _class_probability(self, s: State, at: np.ndarray, own: np.ndarray | int, root: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The classes' probability of pairs `at` above, without so many customers of theirs."""
+        c = self.cc[at] - own
+        t = np.minimum(self.ct[at], c)
+        gone = self.ct[at] - t
+        word, k = self.words[at], self.kinds[at]
+        left = np.maximum(root[0][word] - gone, 0)
+        p0 = s.root(left, np.minimum(root[1][word], left))
         return (np.maximum(c - s.d1 * t, 0) + (CONCENTRATION + s.d1 * np.maximum(s.tables[k] - gone, 0)) * p0) / (CONCENTRATION + np.maximum(s.customers[k] - own, 0))
 
-    def sweep(self, s: State, tables: np.ndarray, stirling: tuple[np.ndarray, ...], rng: np.random.Generator) -> None:
-        """Reseats every pair given the rest, then the classes and the root."""
-        multi = np.flatnonzero(self.c > 1)
-        own = self.t[multi]
-        others = np.maximum(tables[self.u[multi]] - own, 0)
-        self.t[multi] = sample_tables(self.c[multi], self.above(s, multi, own), others, s.d2, CONCENTRATION, stirling[2], rng)
-        if self.more is not None:
-            self.settle()
-            self.dishes.sweep(s, stirling, rng)
+    def sweep(self, s: State, tables: np.ndarray, rng: np.random.Generator) -> None:
+        """Reseats every pair given the rest, then the classes, then the words at the root. tables: those of the contexts."""
+        m, own = self.multi, self.t[self.multi]
+        p = self._class_probability(s, self.over[m], own, self._root_counts(s))
+        self.t[m] = sample_tables(self.n[m], p, np.maximum(tables[self.up[m]] - own, 0), s.d2, CONCENTRATION, _log_stirling(s.d2), rng)
+        self._settle()
+        self.ct = np.clip(self.ct, np.minimum(self.cc, 1), self.cc)
+        m = np.flatnonzero(self.cc > 1)
+        own = self.ct[m]
+        c, t = self._root_counts(s)
+        left = np.maximum(c[self.words[m]] - own, 0)
+        p = s.root(left, np.minimum(t[self.words[m]], left))
+        self.ct[m] = sample_tables(self.cc[m], p, np.maximum(s.tables[self.kinds[m]] - own, 0), s.d1, CONCENTRATION, _log_stirling(s.d1), rng)
+        c = self._by_word(self.ct)
+        base = np.full(len(c), 1 / (s.vocabulary + 1))
+        self.rt = sample_tables(c, base, np.maximum(s.root_tables - np.minimum(self.rt, c), 0), s.d0, CONCENTRATION, _log_stirling(s.d0), rng)
 
     def predictive(self, s: State, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The probability of every pair's word after its context."""
-        p = self.above(s, np.arange(len(self.c)), 0)
-        return (np.maximum(self.c - s.d2 * self.t, 0) + (CONCENTRATION + s.d2 * tables[self.u]) * p) / (CONCENTRATION + customers[self.u])
-
-
-def _seat(leaves: Leaves, s: State, customers: np.ndarray, tables: np.ndarray, name: int, samples: int) -> np.ndarray:
-    """Burns in and returns the mean predictive probability of the samples; customers and tables are those of contexts."""
-    rng = np.random.Generator(np.random.PCG64([SEED, name]))
-    stirling = (_log_stirling(s.d0), _log_stirling(s.d1), _log_stirling(s.d2))
-    for _ in range(BURN_IN):
-        leaves.sweep(s, tables, stirling, rng)
-    total = np.zeros(len(leaves.c))
-    for _ in range(samples):
-        leaves.sweep(s, tables, stirling, rng)
-        total += leaves.predictive(s, customers, tables)
-    return total / max(samples, 1)
-
-
-def _leaves(row: pa.RecordBatch, i: int, hot: Dishes | None) -> tuple[Leaves, Leaves | None]:
-    """A task's words, and the hot words after the words that it owns."""
-    get = lambda name, kind: np.frombuffer(row.column(name)[i].as_py(), kind)
-    per_kind, kinds, u, seen, up = get("leaves", np.uint32), get("kinds", np.uint16), get("context", np.uint32), get("seen", np.uint32), get("up", np.uint32)
-    n = len(u) - len(up)
-    own = Leaves.fresh(Dishes.fresh(get("words", np.uint32), kinds, np.zeros(len(kinds), np.int64)), np.repeat(np.arange(len(kinds)), per_kind), u[:n], seen[:n], np.zeros(len(kinds), np.int64))
-    d = own.dishes
-    d.t = np.minimum(d.c, 1)
-    d.root = np.minimum(d.of_words(d.t), 1)
-    return own, Leaves.fresh(hot, up.astype(np.int64), u[n:], seen[n:], None) if len(up) else None
-
-
-def _totals(d: Dishes, leaves: list[Leaves], n_hot: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """What is summed over tasks, in two columns: customers and tables of classes; of hot words and the beginning; the root's;
-    then counts that give the discounts of words' restaurants, classes and root."""
-    a, b = np.zeros(size), np.zeros(size)
-    a[:KINDS], b[:KINDS] = np.bincount(d.context, d.c, minlength=KINDS), np.bincount(d.context, d.t, minlength=KINDS)
-    at = KINDS + n_hot + 1
-    for x in leaves:
-        some = x.u <= n_hot
-        a[KINDS:at] += np.bincount(x.u[some], x.c[some], minlength=n_hot + 1)
-        b[KINDS:at] += np.bincount(x.u[some], x.t[some], minlength=n_hot + 1)
-        a[at + 1] += (x.c == 1).sum()
-        b[at + 1] += (x.c == 2).sum()
-    per_word = d.of_words((d.c > 0).astype(np.int64))
-    a[at], b[at] = d.t.sum(), d.root.sum()
-    a[at + 2], b[at + 2] = (d.c == 1).sum(), (d.c == 2).sum()
-    a[at + 3], b[at + 3] = (per_word == 1).sum(), (per_word == 2).sum()
-    return a, b
-
-
-SAID = "owner int, task int, name binary, t binary, c binary"
-
-
-def _say(task: int, owner: int, *blobs: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([task], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=[f.split()[0] for f in SAID.split(", ")])
-
-
-def _ask(task: int, names: np.ndarray, leaves: list[Leaves], n_hot: int, tasks: int) -> Iterator[pa.RecordBatch]:
-    """For each owner the names of a task's contexts, with the tables and customers that the task knows of each."""
-    t, c = np.zeros(len(names)), np.zeros(len(names))
-    for x in leaves:
-        some = x.u > n_hot
-        at = x.u[some] - n_hot - 1
-        t += np.bincount(at, x.t[some], minlength=len(names))
-        c += np.bincount(at, x.c[some], minlength=len(names))
-    cuts = np.searchsorted(_owner(names, tasks), np.arange(tasks + 1, dtype=np.uint64))
-    for owner, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        """The probability of every pair's word after its context; s, customers and tables are of the sample itself."""
+        p = self._class_probability(s, np.arange(len(self.words)), 0, self._root_counts(s))[self.over]
+        return (np.maximum(self.n - s.d2 * self.t, 0) + (CONCENTRATION + s.d2 * tables[self.up]) * p) / (CONCENTRATION + customers[self.up])
+
+    def totals(self, n_hot: int) -> np.ndarray:
+        """What is summed over tasks: customers and tables of classes; hot words' customers at the root; the root's customers
+        and tables of the other words; ones and twos among customers of words, classes and the root."""
+        c, cool = self._by_word(self.ct), ~self.is_hot
+        ones = [((x == 1).sum(), (x == 2).sum()) for x in (self.n, self.cc, c[cool])]
+        hot = np.bincount(self.hot[self.is_hot], c[self.is_hot], minlength=n_hot)
+        return np.concatenate((np.bincount(self.kinds, self.cc, minlength=KINDS), np.bincount(self.kinds, self.ct, minlength=KINDS), hot, [c[cool].sum(), self.rt[cool].sum()], *ones)).astype(np.int64)
+
+    def seats(self) -> tuple[bytes, ...]:
+        return self.t[self.multi].astype(np.uint32).tobytes(), self.ct.astype(np.uint32).tobytes(), self.rt.astype(np.uint32).tobytes()
+
+    def sit(self, t: bytes, ct: bytes, rt: bytes) -> None:
+        self.t[self.multi] = np.frombuffer(t, np.uint32)
+        self._settle()
+        self.ct, self.rt = np.frombuffer(ct, np.uint32).astype(np.int64), np.frombuffer(rt, np.uint32).astype(np.int64)
+
+    def local_tables(self) -> np.ndarray:
+        return np.bincount(self.up, self.t, minlength=len(self.names)).astype(np.uint32)
+
+
+def _read(path: str, name: str, value: int, columns: list[str], order: str | None = None) -> list[dict]:
+    """The rows in the folder name=value of a table, none if there is no such folder."""
+    fs, where = pyarrow.fs.FileSystem.from_uri(path)
+    where = f"{where}/{name}={value}"
+    if fs.get_file_info(where).type == pyarrow.fs.FileType.NotFound:
+        return []
+    rows = pq.read_table(where, columns=[*columns, *([order] if order else [])], filesystem=fs)
+    return (rows.sort_by(order) if order else rows).to_pylist()
+
+
+ASKED = "owner int, task int, names binary, a binary, b binary"
+
+
+def _ask(task: int, names: np.ndarray, a: np.ndarray, b: np.ndarray, tasks: int) -> Iterator[tuple]:
+    """Rows of ASKED: for each owner the names of a task's contexts and two numbers that the task knows of each.
+
+    Names begin with the class, so owners follow the hash of a name; within an owner names keep their order.
+    """
+    owner = _owner(mix(names), tasks)
+    by = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[by], np.arange(tasks + 1))
+    for k, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if s < e:
-            yield _say(task, owner, _names(names[s:e]), t[s:e].astype(np.uint32).tobytes(), c[s:e].astype(np.uint32).tobytes())
+            at = by[s:e]
+            yield k, task, _names(names[at]), a[at].astype(np.uint32).tobytes(), b[at].astype(np.uint32).tobytes()
 
 
-def _answer(asked: DataFrame) -> str:
-    """Sums tables and customers of each context over the tasks that ask for it; a folder of answers for each task."""
+def _answer(asked: DataFrame, name: str) -> str:
+    """The numbers of each name summed over the tasks that ask for it, in a folder for each task."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = [_read_names(x) for x in table["name"].to_pylist()]
+        names = [_read_names(x) for x in table["names"].to_pylist()]
         _, at = np.unique(np.concatenate(names), return_inverse=True)
         cuts, columns = np.cumsum([len(x) for x in names])[:-1], []
-        for column in ("t", "c"):
-            known = np.concatenate([np.frombuffer(x, np.uint32) for x in table[column].to_pylist()])
-            total = np.bincount(at, known)[at].astype(np.uint32)
-            columns.append(pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary()))
-        return pa.table([table["owner"], table["task"], *columns], names=["owner", "task", "t", "c"])
-
-    path = fresh_path(asked.sparkSession, "lm-answers")
-    answers = asked.groupBy("owner").applyInArrow(run, "owner int, task int, t binary, c binary")
+        for column in ("a", "b"):
+            total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint32) for x in table[column].to_pylist()]))[at]
+            columns.append(pa.array([x.astype(np.uint32).tobytes() for x in np.split(total, cuts)], pa.binary()))
+        return pa.table([table["owner"], table["task"], *columns], names=["owner", "task", "a", "b"])
+
+    path = fresh_path(asked.sparkSession, name)
+    answers = asked.groupBy("owner").applyInArrow(run, "owner int, task int, a binary, b binary")
     answers.repartition("task").write.option("compression", "zstd").partitionBy("task").parquet(path)
     return path
 
 
-def _contexts(path: str | None, task: int, s: State) -> tuple[np.ndarray, np.ndarray]:
-    """Customers and tables of a task's contexts."""
-    customers, tables = [s.hot_customers], [s.hot_tables]
-    if path is not None:
-        fs, where = pyarrow.fs.FileSystem.from_uri(path)
-        where = f"{where}/task={task}"
-        if fs.get_file_info(where).type != pyarrow.fs.FileType.NotFound:
-            rows = pq.read_table(where, columns=["owner", "t", "c"], filesystem=fs).sort_by("owner")
-            tables += [np.frombuffer(x, np.uint32) for x in rows["t"].to_pylist()]
-            customers += [np.frombuffer(x, np.uint32) for x in rows["c"].to_pylist()]
-    return np.concatenate(customers).astype(float), np.concatenate(tables).astype(float)
+def _told(path: str, names: np.ndarray, task: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers to _ask() for the same names."""
+    rows = _read(path, "task", task, ["a", "b"], "owner")
+    by = np.argsort(_owner(mix(names), tasks), kind="stable")
+    out = np.zeros((2, len(names)), np.int64)
+    for j, column in enumerate("ab"):
+        out[j, by] = np.concatenate([np.frombuffer(r[column], np.uint32) for r in rows]) if rows else 0
+    return out[0], out[1]
+
+
+@dataclass(frozen=True)
+class Round:
+    """A sample: the folders of its seats and of its contexts' tables, and its state."""
+
+    seats: str | None
+    answers: str
+    state: State
+
 
+def _contexts(r: Restaurants, rounds: list[Round], tasks: int, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Customers, and tables in the last of rounds, of a task's contexts; and which may have other tables in another sample.
 
-def score_documents(docs: DataFrame) -> DataFrame:
+    The first round told customers and tables of all contexts. Those in which every customer orders a dish of its own have a
+    table for each, always; later rounds tell of the others.
+    """
+    customers, tables = _told(rounds[0].answers, r.names, r.task, tasks)
+    active = np.flatnonzero(customers > tables)
+    if len(rounds) > 1:
+        tables[active] = _told(rounds[-1].answers, r.names[active], r.task, tasks)[0]
+    return customers, tables, active
+
+
+SAID = "what int, owner int, task int, names binary, a binary, b binary"
+
+
+class Model:
+    """The pairs of a corpus and samples of their seating, in the shared folder."""
+
+    def __init__(self, docs: DataFrame):
+        """docs: (doc_id, text, held)."""
+        self.spark: SparkSession = docs.sparkSession
+        self.docs = docs
+        counts = stash(word_counts(docs), "lm-counts")
+        self.tokens, self.vocabulary = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
+        rows = counts.where(F.col("n") * HOT >= F.lit(self.tokens)).collect() if self.tokens else []  # at most HOT
+        rows.sort(key=lambda r: np.int64(r[0]).view(np.uint64))
+        self.hot = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        self.hot_count = np.array([r[1] for r in rows], np.int64)
+        self.tasks = max(1, -(-self.tokens * HELD_OUT_MOD // ((HELD_OUT_MOD - 1) * TASK_TOKENS)))
+        self.packed, self.path = _gather(_count(docs, self.hot, self.tasks), self.hot)
+        self.rounds: list[Round] = []
+        for number in range(1 + BURN_IN + SAMPLES):
+            self._round(number)
+        self.samples = self.rounds[-SAMPLES:]
+
+    def _state(self, said: DataFrame, before: State | None, number: int) -> State:
+        """The state from the totals that tasks tell, (what = 0)."""
+
+        def numbers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows:
+                x = [np.frombuffer(b, np.int64) for b in row.column("a").to_pylist()]
+                if x:
+                    total = np.sum(x, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+
+        told = said.where("what = 0").select("a").mapInArrow(numbers, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        n_hot = len(self.hot)
+        x = np.zeros(2 * KINDS + n_hot + 8)
+        x[told["k"].to_numpy()] = told["v"].to_numpy()
+        hot = x[2 * KINDS : 2 * KINDS + n_hot].astype(np.int64)
+        root_c, root_t, *ones = x[2 * KINDS + n_hot :]
+        d2, d1, d0 = (float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in zip(ones[::2], ones[1::2], strict=True))
+        hot_t = np.minimum(hot, 1)
+        if before is not None and n_hot:
+            rng = np.random.Generator(np.random.PCG64([SEED, number]))
+            others = np.maximum(before.root_tables - before.hot_tables, 0)
+            hot_t = sample_tables(hot, np.full(n_hot, 1 / (self.vocabulary + 1)), others, before.d0, CONCENTRATION, _log_stirling(before.d0), rng)
+        return State(self.tokens, self.vocabulary, d0, d1, d2, x[:KINDS], x[KINDS : 2 * KINDS], root_c + hot.sum(), root_t + hot_t.sum(), hot, hot_t)
+
+    def _round(self, number: int) -> None:
+        """One sweep of all tasks and the exchange of what it changed; round 0 is one table for each pair."""
+        tasks, n_hot = self.tasks, len(self.hot)
+        rounds = self.spark.sparkContext.broadcast(self.rounds)
+
+        @tidy
+        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    r = Restaurants(batch, i)
+                    if number:
+                        last = rounds.value[-1]
+                        _, tables, active = _contexts(r, rounds.value, tasks)
+                        if last.seats:
+                            r.sit(*_read(f"{last.seats}/what=1", "task", r.task, ["a", "b", "names"])[0].values())
+                        r.sweep(last.state, tables, np.random.Generator(np.random.PCG64([SEED, number, r.task])))
+                        t, ct, rt = r.seats()
+                        yield _rows(SAID, [(1, -1, r.task, rt, t, ct)])
+                        found = r.local_tables()[active]
+                        yield _rows(SAID, [(2, *x) for x in _ask(r.task, r.names[active], found, np.zeros(len(active), np.uint32), tasks)])
+                    yield _rows(SAID, [(0, -1, r.task, None, r.totals(n_hot).tobytes(), None)])
+
+        path = fresh_path(self.spark, "lm-said")
+        self.packed.mapInArrow(seat, SAID).write.option("compression", "zstd").partitionBy("what", "task").parquet(path)
+        said = self.spark.read.schema(SAID).parquet(path)
+        state = self._state(said, self.rounds[-1].state if number else None, number)
+        if number:
+            asked = said.where("what = 2")
+        else:
+
+            @tidy
+            def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        r = Restaurants(batch, i)
+                        yield _rows(ASKED, list(_ask(r.task, r.names, np.bincount(r.up, r.n, minlength=len(r.names)), r.local_tables(), tasks)))
+
+            asked = self.packed.mapInArrow(ask, ASKED)
+        self.rounds.append(Round(path if number else None, _answer(asked.select("owner", "task", "names", "a", "b"), "lm-answers"), state))
+
+    def scores(self, precise: bool) -> str:
+        """For each chunk a folder of rows (task, count of each of its words, log10 probability of each of its pairs)."""
+        shared = self.spark.sparkContext.broadcast((self.rounds[0], self.samples, self.hot_count))
+        tasks = self.tasks
+
+        @tidy
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, samples, hot_count = shared.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    r = Restaurants(batch, i)
+                    p = np.zeros(len(r.n))
+                    for sample in samples:
+                        customers, tables, _ = _contexts(r, [first, sample], tasks)
+                        r.sit(*_read(f"{sample.seats}/what=1", "task", r.task, ["a", "b", "names"])[0].values())
+                        p += r.predictive(sample.state, customers, tables)
+                    log_p = np.log10(p / len(samples))
+                    told = log_p if precise else np.minimum(np.rint(-log_p * STEPS), 65535).astype(np.uint16)
+                    count = np.bincount(r.word, r.n, minlength=len(r.hot)).astype(np.int64)
+                    count[r.is_hot] = hot_count[r.hot[r.is_hot]]
+                    sizes = np.frombuffer(batch.column("sizes")[i].as_py(), np.uint32).tolist()
+                    steps, at = np.frombuffer(batch.column("inverse")[i].as_py(), np.uint32).astype(np.int64), 0
+                    for chunk, size in zip(batch.column("chunks")[i].as_py(), sizes, strict=True):
+                        pair = np.cumsum(steps[at : at + size])
+                        at += size
+                        word = r.word[pair]
+                        yield _rows("chunk long, task int, counts binary, scores binary", [(chunk, r.task, count[word[_runs(word)]].astype(np.uint64).tobytes(), told[pair].tobytes())])
+
+        path = fresh_path(self.spark, "lm-scores")
+        scored = self.packed.mapInArrow(score, "chunk long, task int, counts binary, scores binary")
+        scored.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+        return path
+
+
+def score_documents(docs: DataFrame, precise: bool = False, token_scores: bool = False) -> DataFrame:
     """(doc_id, text) to (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row a document.
 
     Training texts are those whose crc32(doc_id as text) leaves another rest than HELD_OUT_REST when divided by
     HELD_OUT_MOD; a null doc_id counts as an empty text and trains. A null text is empty: its end is its only token.
-    base_score is the add-one unigram model's, score the hierarchical model's log10 probability of the whole text. Rows
-    that repeat count as often as they occur. Texts of any length are read whole; without a training token every word is
-    unknown; an empty table gives no rows. Other columns are not read.
+    base_score is the add-one unigram model's, score the hierarchical model's log10 probability of the whole text, to 1 /
+    (2 STEPS) a token or, if asked, precisely. Rows that repeat count as often as they occur. Texts of any length are read
+    whole. Without a training token the vocabulary is empty and all there is is the unknown word, so every score is 0. An
+    empty table gives no rows. Other columns are not read. token_scores adds a list of the tokens' log10 probabilities.
+
+    docs are read three times and have to come in the same parts each time, as a table or a written DataFrame does; it is an
+    error if they don't.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT_MOD == HELD_OUT_REST
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    counts = stash(word_counts(docs), "lm-counts")
-    tokens, vocabulary = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    hot_rows = counts.where(F.col("n") * HOT >= F.lit(tokens)).collect() if tokens else []  # at most HOT
-    hot_rows.sort(key=lambda r: np.int64(r[0]).view(np.uint64))
-    hot = np.array([r[0] for r in hot_rows], np.int64).view(np.uint64)
-    hot_count = np.array([r[1] for r in hot_rows], np.int64)
-    hot_kind = np.array([*(r[2] for r in hot_rows), CLASSES], np.int64)
-    n_hot, contexts = len(hot), len(hot) + 1
-    rare_tokens = tokens - int(hot_count.sum())
-    # Places of other words, and of hot words after other words, of which there are no more than of either.
-    tasks = max(1, -(-int((rare_tokens + min(rare_tokens, tokens - rare_tokens)) * 1.2) // TASK_PLACES))
-    batches, others = _number(docs, hot, tasks, fresh_path(spark, "lm-tokens"))
-    packed = _gather(others, hot)
-
-    # Hot words: counts by (word, context), summed where they are before they move; together a bounded table.
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(hot) * contexts, np.int64)
-        for row in rows:
-            for i in range(row.num_rows):
-                get = lambda name, t: np.frombuffer(row.column(name)[i].as_py(), t)  # noqa: B023, E731
-                n_hot = get("b", np.uint32)
-                train = np.repeat(~_unpack(row.column("held")[i].as_py(), len(n_hot)), n_hot)
-                sums += np.bincount((get("c", np.uint16).astype(np.int64) * contexts + get("d", np.uint16))[train], minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["pair", "n"])
-
-    hot_pairs = batches.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow() if len(hot) else None
-    # Hot words in classes, and after hot words and the beginning; customers from all other contexts are added in each round.
-    hot_leaves, from_others = None, np.zeros(n_hot * KINDS, np.int64)
-    if hot_pairs is not None:
-        grid = np.zeros(n_hot * contexts, np.int64)
-        grid[hot_pairs["pair"].to_numpy()] = hot_pairs["n"].to_numpy()
-        above = np.repeat(np.arange(n_hot) * KINDS, contexts) + np.tile(hot_kind, n_hot)
-        every = lambda: Dishes.fresh(np.full(n_hot, KINDS), np.tile(np.arange(KINDS), n_hot), np.zeros(n_hot * KINDS, np.int64))
-        hot_leaves = lambda: Leaves.fresh(every(), above, np.tile(np.arange(contexts), n_hot), grid, from_others)
-
-    state = State(tokens, vocabulary, 0.5, 0.5, np.zeros(KINDS), np.zeros(KINDS), 0.0, 0.0, 0.5, np.zeros(contexts), np.zeros(contexts))
-    size = KINDS + contexts + 4
-    answers = None
-    for round_ in range(ROUNDS):
-        own = hot_leaves() if hot_leaves is not None else None
-        if own is not None and round_:
-            _seat(own, state, state.hot_customers, state.hot_tables, 0, 0)
-        now = spark.sparkContext.broadcast((state, own.dishes if own is not None else None, answers))
-
-        def seat(rows: Iterator[pa.RecordBatch], now=now, round_=round_) -> Iterator[pa.RecordBatch]:
-            s, hot_dishes, told = now.value
-            for row in rows:
-                for i in range(row.num_rows):
-                    task = row.column("task")[i].as_py()
-                    both = [x for x in _leaves(row, i, hot_dishes) if x is not None]
-                    if round_:
-                        customers, tables = _contexts(told, task, s)
-                        for part, x in enumerate(both):
-                            _seat(x, s, customers, tables, 2 * task + part + 1, 0)
-                    a, b = _totals(both[0].dishes, both, n_hot, size)
-                    if len(both) > 1:
-                        up = np.bincount(both[1].up, both[1].t, minlength=n_hot * KINDS)
-                        a, b = np.concatenate((a, up)), np.concatenate((b, np.zeros(len(up))))
-                    some = np.flatnonzero((a > 0) | (b > 0))
-                    yield _say(task, -1, some.tobytes(), a[some].astype(np.int64).tobytes(), b[some].astype(np.int64).tobytes())
-                    yield from _ask(task, np.frombuffer(row.column("names")[i].as_py(), np.uint64), both, n_hot, tasks)
-
-        def numbers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows:
-                for i in range(row.num_rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row.column(f)[i].as_py(), np.int64)) for f in ("name", "t", "c")], names=["k", "a", "b"])
-
-        path = fresh_path(spark, "lm-said")
-        packed.mapInArrow(seat, SAID).write.option("compression", "zstd").parquet(path)
-        said = spark.read.schema(SAID).parquet(path)
-        told = said.where("owner < 0").mapInArrow(numbers, "k long, a long, b long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-        answers = _answer(said.where("owner >= 0"))
-        a, b = np.zeros(size + n_hot * KINDS), np.zeros(size + n_hot * KINDS)
-        a[told["k"].to_numpy()], b[told["k"].to_numpy()] = told["a"].to_numpy(), told["b"].to_numpy()
-        from_others = a[size:].astype(np.int64)
-        a, b = a[:size], b[:size]
-        if own is not None:
-            own.more = from_others
-            own.settle()
-            more = _totals(own.dishes, [own], n_hot, size)
-            a, b = a + more[0], b + more[1]
-        discount = lambda i, before: float(np.clip(a[i] / (a[i] + 2 * b[i]), 0.05, 0.95)) if a[i] + b[i] else before  # noqa: B023, E731
-        at = KINDS + contexts
-        state = State(tokens, vocabulary, discount(at + 3, state.d0), discount(at + 2, state.d1), a[:KINDS], b[:KINDS], a[at], b[at], discount(at + 1, state.d2), a[KINDS:at], b[KINDS:at])
-
-    own, table = hot_leaves() if hot_leaves is not None else None, np.zeros((n_hot, contexts))
-    if own is not None:
-        table = np.log10(_seat(own, state, state.hot_customers, state.hot_tables, 0, SAMPLES)).reshape(table.shape)
-    final = spark.sparkContext.broadcast((state, own.dishes if own is not None else None, answers))
-    base = lambda c: np.log10((c + 1.0) / (tokens + vocabulary + 1.0))
-    result = "batch long, at binary, score binary, base binary, known binary"
-    names = [x.split()[0] for x in result.split(", ")]
-
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s_, hot_dishes, told = final.value
-        for row in rows:
-            for i in range(row.num_rows):
-                task = row.column("task")[i].as_py()
-                customers, tables = _contexts(told, task, s_)
-                both = [x for x in _leaves(row, i, hot_dishes) if x is not None]
-                log_p = np.log10(np.concatenate([_seat(x, s_, customers, tables, 2 * task + part + 1, SAMPLES) for part, x in enumerate(both)]))
-                words = both[0].dishes.word_of()[both[0].up]
-                c = np.bincount(words, both[0].c)[words] if len(words) else np.zeros(0)
-                if len(both) > 1:
-                    c = np.concatenate((c, hot_count[both[1].up // KINDS]))
-                places = np.frombuffer(row.column("places")[i].as_py(), np.uint32)
-                place = np.frombuffer(row.column("place")[i].as_py(), np.uint32).astype(np.int64)
-                pair = np.repeat(np.arange(len(places)), places)
-                used, at = np.unique(place, return_inverse=True)
-                sums = [np.bincount(at, x[pair], minlength=len(used)) for x in (log_p, base(c), (c > 0).astype(float))]
-                numbers = row.column("batches")[i].as_py()
-                cuts = np.searchsorted(used >> 16, np.arange(len(numbers) + 1))
-                for k, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if s < e:
-                        blobs = ((used[s:e] & 0xFFFF).astype(np.uint16), sums[0][s:e], sums[1][s:e], sums[2][s:e].astype(np.uint32))
-                        yield pa.RecordBatch.from_arrays([pa.array([numbers[k]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=names)
-
-    table = spark.sparkContext.broadcast(table)
-
-    def finish(rows: pa.Table, texts: pa.Table) -> pa.Table:
-        out = []
-        for j in range(texts.num_rows):
-            get = lambda name, t: np.frombuffer(texts[name][j].as_py(), t)  # noqa: B023, E731
-            n, n_hot, word, context = get("a", np.uint32), get("b", np.uint32), get("c", np.uint16), get("d", np.uint16)
-            doc = np.repeat(np.arange(len(n)), n_hot)
-            sums = [np.bincount(doc, x, minlength=len(n)).astype(float) for x in (table.value[word, context] if len(word) else np.zeros(0), base(hot_count)[word] if len(word) else np.zeros(0))]
-            known = n_hot.astype(np.int64)
-            for i in range(rows.num_rows):
-                read = lambda name, t: np.frombuffer(rows[name][i].as_py(), t)  # noqa: B023, E731
-                at = read("at", np.uint16)
-                sums[0][at] += read("score", np.float64)
-                sums[1][at] += read("base", np.float64)
-                known[at] += read("known", np.uint32)
-            flags = _unpack(texts["held"][j].as_py(), len(n))
-            ids = texts["doc_id"].chunk(0).flatten() if texts.num_rows == 1 else texts["doc_id"][j].values
-            out.append(pa.table([ids, pa.array(flags), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(sums[1]), pa.array(sums[0])], names=FIELDS))
-        return pa.concat_tables(out) if out else pa.schema([(f, pa.int64()) for f in FIELDS]).empty_table()
-
-    scored = packed.mapInArrow(score, result)
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return scored.groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(finish, schema)
-
-
-FIELDS = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    model = Model(docs)
+    path = model.scores(precise)
+    for gone in (model.path, *(r.seats for r in model.rounds if r.seats), *(r.answers for r in model.rounds)):
+        drop(docs.sparkSession, gone)  # the scores say it all
+    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
+    tasks, tokens, vocabulary = model.tasks, model.tokens, model.vocabulary
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    @tidy
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            task, word, _, pair = _pairs(chunk, shared.value, tasks)
+            rows = _read(path, "chunk", chunk.number, ["counts", "scores"], "task")
+            new = _runs(task, word)
+            found = np.concatenate([np.frombuffer(r["scores"], np.float64 if precise else np.uint16) for r in rows]) if rows else np.zeros(0)
+            counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+            if len(found) != len(task) or len(counts) != new.sum():
+                raise ValueError("the documents were read in other parts than before; write them to a table first")
+            p = (found if precise else found / -STEPS)[pair]
+            c = counts[np.cumsum(new) - 1][pair]
+            n = len(chunk.held)
+            sums = [np.bincount(chunk.doc, x, minlength=n) for x in (np.ones(len(p)), c > 0, np.log10((c + 1.0) / (tokens + vocabulary + 1.0)), p)]
+            columns = [chunk.doc_id, pa.array(chunk.held), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(n, tokens)), *(pa.array(x) for x in sums[2:])]
+            if token_scores:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sums[0]))), pa.int32()), pa.array(p)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *["token_scores"] * token_scores])
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", token_scores array<double>" * token_scores
+    return docs.mapInArrow(finish, schema)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from cases import base_rows, frame, words
 
 from foliate.llm import language_model as L
@@ -35,35 +36,76 @@ def test_table_counts_follow_the_seatings():
     assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - want).max() < 0.01
 
 
-def test_large_dishes_seat_like_a_loop():
-    c, p, others, d, theta, n = 400, 0.02, 30, 0.5, 1.0, 300
+@pytest.mark.parametrize("lanes, error", [(32, 0.15), (1024, 0.04)])
+@pytest.mark.parametrize("p, others", [(0.02, 30), (0.3, 4), (0.001, 5000)])
+def test_large_dishes_seat_as_the_exact_distribution_says(monkeypatch, lanes, error, p, others):
+    """Beyond what is seated at once the seating comes near the exact distribution, the nearer the more lanes there are."""
+    monkeypatch.setattr(L, "LANES", lanes)
+    c, d, theta, n = 700, 0.5, 1.0, 1000
     rng = np.random.default_rng(5)
-    t = L.sample_tables(np.full(n, c), np.full(n, p), np.full(n, others), d, theta, L._log_stirling(d), rng)
-    loop = []
-    for _ in range(n):
-        tables = 1
-        for i in range(1, c):
-            a = (theta + d * (others + tables)) * p
-            tables += rng.random() < a / (a + i - d * tables)
-        loop.append(tables)
-    assert abs(t.mean() - np.mean(loop)) < 0.3
-
-
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    v, contexts = 30, 4
-    counts = rng.integers(0, 6, (v, contexts)) * (rng.random((v, contexts)) < 0.5)
-    counts[:, 0] += 1
-    dishes = L.Dishes.fresh(np.full(v, contexts), np.tile(np.arange(contexts), v), counts.ravel())
-    state = L.State(int(counts.sum()), v, 0.4, 0.6, counts.sum(0).astype(float), np.zeros(contexts), 0, 0)
-    for _ in range(3):
-        state = L.State(state.tokens, v, 0.4, 0.6, state.customers, dishes.t.reshape(v, contexts).sum(0).astype(float), float(dishes.t.sum()), float(dishes.root.sum()))
-        dishes.sweep(state, (L._log_stirling(0.4), L._log_stirling(0.6)), rng)
-    state = L.State(state.tokens, v, 0.4, 0.6, state.customers, dishes.t.reshape(v, contexts).sum(0).astype(float), float(dishes.t.sum()), float(dishes.root.sum()))
-    p = dishes.predictive(state).reshape(v, contexts).sum(0)
-    unknown = (1 + 0.4 * state.root_tables) / (v + 1) / (1 + state.root_customers)
-    back = (1 + 0.6 * state.tables) / (1 + state.customers)
-    assert np.allclose(p + back * unknown, 1)
+    args = (np.full(n, c), np.full(n, p), np.full(n, others), d, theta)
+    exact = L.sample_tables(*args, L._log_stirling(d, c), rng)
+    grown = L.sample_tables(*args, L._log_stirling(d, 64), rng)
+    assert abs(exact.mean() - grown.mean()) < error * exact.mean() + 0.08
+    assert abs(exact.std() - grown.std()) < (error + 0.05) * exact.std() + 0.08
+
+
+def held_ids():
+    return (i for i in range(10**9) if zlib.crc32(str(i).encode()) % 7 == 2)
+
+
+def train_ids():
+    return (i for i in range(10**9) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
+def zipf_rows(n_words=40, n_texts=150):
+    rng = np.random.default_rng(4)
+    ids, share = train_ids(), 1 / np.arange(1, n_words + 1)
+    draw = lambda: " ".join(f"{'xyz'[k % 3]}{k}" for k in rng.choice(n_words, 30, p=share / share.sum()))
+    return [(next(ids), draw(), "en", "a", 0) for _ in range(n_texts)]
+
+
+@pytest.mark.parametrize("hot, chunk, task", [(1000, 10**6, 10**6), (10, 500, 700)])
+def test_probabilities_sum_to_one(spark, monkeypatch, hot, chunk, task):
+    """After the operator's own sweeps, over all words after a context, the end and one unknown word."""
+    monkeypatch.setattr(L, "HOT", hot)
+    monkeypatch.setattr(L, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(L, "TASK_TOKENS", task)
+    rows = zipf_rows()
+    vocabulary = sorted({w for r in rows for w in r[1].split()})
+    ids, asked = held_ids(), {}
+    for u in [*vocabulary[:3], "y1", "never-seen"]:
+        for w in [*vocabulary, "also-never-seen", ""]:
+            asked[i := next(ids)] = u
+            rows.append((i, f"{u} {w}", "en", "a", 0))
+    mass = Counter()
+    got = L.score_documents(frame(spark, rows).coalesce(2), precise=True, token_scores=True).collect()
+    for r in got:
+        assert math.isclose(sum(r.token_scores), r.score) and len(r.token_scores) == r.n_tokens
+        if r.doc_id in asked:
+            mass[asked[r.doc_id]] += 10 ** r.token_scores[1]
+    assert len(mass) == 5 and all(abs(m - 1) < 1e-9 for m in mass.values()), mass
+    # What follows the beginning of a text sums to one as well.
+    first = {r.doc_id: r.token_scores[0] for r in got}
+    ids = held_ids()
+    rows = [*zipf_rows(), *((next(ids), w, "en", "a", 0) for w in [*vocabulary, "never-seen", ""])]
+    got = [r for r in L.score_documents(frame(spark, rows).coalesce(2), precise=True, token_scores=True).collect() if r.held_out]
+    assert abs(sum(10 ** r.token_scores[0] for r in got) - 1) < 1e-9 and first
+
+
+def test_steps_are_small(spark):
+    rows = zipf_rows()
+    exact = {r.doc_id: r.score for r in L.score_documents(frame(spark, rows).coalesce(2), precise=True).collect()}
+    for r in L.score_documents(frame(spark, rows).coalesce(2)).collect():
+        assert abs(r.score - exact[r.doc_id]) <= r.n_tokens / (2 * L.STEPS) + 1e-6
+
+
+def test_chunks_and_tasks_change_no_count(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in base_rows()]
+    monkeypatch.setattr(L, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(L, "TASK_TOKENS", 5000)
+    monkeypatch.setattr(L, "HOT", 50)
+    check(rows, L.score_documents(frame(spark)).collect())
 
 
 def low(text):
@@ -85,7 +127,9 @@ def test_counts_and_base_on_odd_rows(spark):
     check(rows, L.score_documents(frame(spark)).collect())
     assert L.score_documents(frame(spark, [])).collect() == []
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
-    check([(only, "all held out")], L.score_documents(frame(spark, [(only, "all held out", "en", "a", 0)])).collect())
+    # Without a training token the unknown word is all there is, and certain.
+    r = L.score_documents(frame(spark, [(only, "all held out", "en", "a", 0)])).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (4, 0, 0, 0.0, 0.0)
 
 
 def test_learns_what_follows_what(spark):
