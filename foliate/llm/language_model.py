@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -39,7 +38,7 @@ CLASSES = 1023
 KINDS = CLASSES + 1
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 #: Tokens of the texts that are read together, and tokens whose pairs one task seats.
-CHUNK_TOKENS, TASK_TOKENS = 2_500_000, 2_500_000
+CHUNK_TOKENS, TASK_TOKENS = 1_000_000, 2_000_000
 #: Sweeps before samples are taken; samples whose predictions are averaged.
 BURN_IN, SAMPLES = 1, 2
 CONCENTRATION = 1.0
@@ -96,29 +95,6 @@ def _tokens(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, doc, kind
 
 
-def _all_tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """_tokens() of a batch, made a slice at a time."""
-    parts, at = [], 0
-    for part in slices(batch, column):
-        tok, doc, kind = _tokens(split(part.column(column), lower=True))
-        parts.append((tok, doc + at, kind))
-        at += part.num_rows
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(text, held) to (word, n, kind): how often each word and the end occur in texts that aren't held out, and the word's class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train = batch.filter(pa.compute.invert(batch.column("held")))
-            tok, _, ending = _all_tokens(train, 0)
-            found, at, counts = np.unique(tok, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts), pa.array(ending[at].astype(np.int16))], names=["word", "n", "kind"])
-
-    return docs.select("text", "held").mapInArrow(run, "word long, n long, kind short").groupBy("word").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
-
-
 # Chunks of texts and their pairs
 
 
@@ -143,6 +119,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
     def close() -> Chunk:
         tok, doc, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         name = kind.astype(np.uint64) << CLASS_SHIFT | tok >> np.uint64(64 - 38)
         context = np.concatenate((name[:1], name[:-1]))
         context[_runs(doc)] = BEGIN
@@ -152,7 +129,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in (x for whole in batches for x in slices(whole, 1)):
         tok, doc, kind = _tokens(split(batch.column(1), lower=True))
         rows.append(batch.select(["doc_id", "held"]))
-        parts.append((tok, doc + texts, kind))
+        parts.append((tok, (doc + texts).astype(np.int32), kind.astype(np.int16)))
         size, texts = size + len(tok), texts + batch.num_rows
         if size >= CHUNK_TOKENS:
             yield close()
@@ -182,6 +159,18 @@ def _owner(x: np.ndarray, tasks: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, held) to (word, n): how often each word and the end occur in texts that aren't held out."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            found, counts = np.unique(chunk.tok[~chunk.held[chunk.doc]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def _pairs(chunk: Chunk, hot: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(task, word, context) of a chunk's different pairs, in that order, and the pair of each token."""
     order = np.lexsort((chunk.context, chunk.tok))
@@ -194,7 +183,7 @@ def _pairs(chunk: Chunk, hot: np.ndarray, tasks: int) -> tuple[np.ndarray, np.nd
     by = np.argsort(task, kind="stable")
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    pair = np.empty(len(order), np.int64)
+    pair = np.empty(len(order), np.int32)
     pair[order] = place[number]
     return task[by], tok[by], context[by], pair
 
@@ -675,10 +664,11 @@ def score_documents(docs: DataFrame, precise: bool = False, token_scores: bool =
             counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
             if len(found) != len(task) or len(counts) != new.sum():
                 raise ValueError("the documents were read in other parts than before; write them to a table first")
-            p = (found if precise else found / -STEPS)[pair]
-            c = counts[np.cumsum(new) - 1][pair]
             n = len(chunk.held)
-            sums = [np.bincount(chunk.doc, x, minlength=n) for x in (np.ones(len(p)), c > 0, np.log10((c + 1.0) / (tokens + vocabulary + 1.0)), p)]
+            c = counts[np.cumsum(new) - 1]
+            base = np.log10((c + 1.0) / (tokens + vocabulary + 1.0))
+            p = (found if precise else found / -STEPS)[pair]
+            sums = [np.bincount(chunk.doc, x, minlength=n) for x in (None, (c > 0)[pair], base[pair], p)]
             columns = [chunk.doc_id, pa.array(chunk.held), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(n, tokens)), *(pa.array(x) for x in sums[2:])]
             if token_scores:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sums[0]))), pa.int32()), pa.array(p)))
