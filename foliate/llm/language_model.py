@@ -47,8 +47,6 @@ EXACT = 1024
 #: Parallel seatings of dishes with more customers.
 LANES = 32
 SEED = 7151
-#: Scores of pairs go back to the chunks in steps of this part of a decimal digit.
-STEPS = 4000
 
 #: The end of a text: a name that no word's hash is likely to have.
 END = np.uint64(0xE5D0F7E87E5D0F7E)
@@ -613,7 +611,7 @@ class Model:
                         r.sit(*_read(f"{sample.seats}/what=1", "task", r.task, ["a", "b", "names"])[0].values())
                         p += r.predictive(sample.state, customers, tables)
                     log_p = np.log10(p / len(samples))
-                    told = log_p if precise else np.minimum(np.rint(-log_p * STEPS), 65535).astype(np.uint16)
+                    told = log_p.astype(np.float64 if precise else np.float32)
                     count = np.bincount(r.word, r.n, minlength=len(r.hot)).astype(np.int64)
                     count[r.is_hot] = hot_count[r.hot[r.is_hot]]
                     sizes = np.frombuffer(batch.column("sizes")[i].as_py(), np.uint32).tolist()
@@ -635,8 +633,8 @@ def score_documents(docs: DataFrame, precise: bool = False, token_scores: bool =
 
     Training texts are those whose crc32(doc_id as text) leaves another rest than HELD_OUT_REST when divided by
     HELD_OUT_MOD; a null doc_id counts as an empty text and trains. A null text is empty: its end is its only token.
-    base_score is the add-one unigram model's, score the hierarchical model's log10 probability of the whole text, to 1 /
-    (2 STEPS) a token or, if asked, precisely. Rows that repeat count as often as they occur. Texts of any length are read
+    base_score is the add-one unigram model's, score the hierarchical model's log10 probability of the whole text, each
+    token's to the precision of 32-bit floats or, if asked, of 64-bit ones. Rows that repeat count as often as they occur. Texts of any length are read
     whole. Without a training token the vocabulary is empty and all there is is the unknown word, so every score is 0. An
     empty table gives no rows. Other columns are not read. token_scores adds a list of the tokens' log10 probabilities.
 
@@ -660,14 +658,14 @@ def score_documents(docs: DataFrame, precise: bool = False, token_scores: bool =
             task, word, _, pair = _pairs(chunk, shared.value, tasks)
             rows = _read(path, "chunk", chunk.number, ["counts", "scores"], "task")
             new = _runs(task, word)
-            found = np.concatenate([np.frombuffer(r["scores"], np.float64 if precise else np.uint16) for r in rows]) if rows else np.zeros(0)
+            found = np.concatenate([np.frombuffer(r["scores"], np.float64 if precise else np.float32) for r in rows]) if rows else np.zeros(0)
             counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
             if len(found) != len(task) or len(counts) != new.sum():
                 raise ValueError("the documents were read in other parts than before; write them to a table first")
             n = len(chunk.held)
             c = counts[np.cumsum(new) - 1]
             base = np.log10((c + 1.0) / (tokens + vocabulary + 1.0))
-            p = (found if precise else found / -STEPS)[pair]
+            p = found.astype(np.float64)[pair]
             sums = [np.bincount(chunk.doc, x, minlength=n) for x in (None, (c > 0)[pair], base[pair], p)]
             columns = [chunk.doc_id, pa.array(chunk.held), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(n, tokens)), *(pa.array(x) for x in sums[2:])]
             if token_scores:

@@ -93,11 +93,11 @@ def test_probabilities_sum_to_one(spark, monkeypatch, hot, chunk, task):
     assert abs(sum(10 ** r.token_scores[0] for r in got) - 1) < 1e-9 and first
 
 
-def test_steps_are_small(spark):
+def test_precision(spark):
     rows = zipf_rows()
     exact = {r.doc_id: r.score for r in L.score_documents(frame(spark, rows).coalesce(2), precise=True).collect()}
     for r in L.score_documents(frame(spark, rows).coalesce(2)).collect():
-        assert abs(r.score - exact[r.doc_id]) <= r.n_tokens / (2 * L.STEPS) + 1e-6
+        assert abs(r.score - exact[r.doc_id]) <= 1e-6 * r.n_tokens
 
 
 def test_chunks_and_tasks_change_no_count(spark, monkeypatch):
