@@ -57,8 +57,13 @@ def _running(rows: DataFrame, keys: list[str], order: list[Column], size: str, o
     return rows.join(offsets, keys).withColumn(out, F.col("__before") + F.sum(size).over(within)).drop("__before")
 
 
+def _shuffled(doc_id: Column, text: Column, seed: int) -> Column:
+    """The place in its source's queue: a keyed hash of a document's id and text."""
+    return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(str(seed)), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+
+
 def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 20250, share: float = 1.0) -> DataFrame:
-    """(doc_id, source, text) to one row a document: __doc_id, __source, size, source_size, target, repeats, taken.
+    """(doc_id, source, text) to one row a document: __doc_id, __source, size, source_size, target, repeats, taken, __h.
 
     Documents queue in the order of a hash of doc_id and text, so rows without an id are spread like others. Rows that repeat
     with both are interchangeable: they stand next to each other in the queue and share out what they are taken. Texts that are null
@@ -67,8 +72,7 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     rows alone, so reruns agree. A document goes in whole, up to max_epochs times: each source ends within one document
     of its target.
     """
-    shuffled = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(str(seed)), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    rows = docs.select(F.col("doc_id").alias("d"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), shuffled.alias("h"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), _shuffled(F.col("doc_id"), F.col("text"), seed).alias("h"))
     rows = stash(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sources.select("source", "source_size"), weights, max_epochs, share)
@@ -99,21 +103,26 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     same = Window.partitionBy("rank", "h", "size")
     out = cum.withColumn("i", F.row_number().over(turn) - 1).withColumn("m", F.count("*").over(same)).join(taken, ["rank", "h", "size"], "left")
     repeats = F.floor((F.coalesce("k", F.lit(0)) + F.col("m") - 1 - F.col("i")) / F.col("m")).cast("long")
-    return out.select(F.col("d").alias("__doc_id"), F.col("source").alias("__source"), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select(F.col("d").alias("__doc_id"), F.col("source").alias("__source"), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), F.col("h").alias("__h"))
 
 
-def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 20250) -> DataFrame:
     """docs with every row as often as the mix takes it, all columns as they are.
 
-    Rows that repeat with one doc_id, source and size share what they are taken, the first of them the larger part.
+    Each source is served its queue in order, so what is taken of it are whole rounds and then the rows up to some hash: a
+    row a source tells that to all, and no text moves. Where the service ends among rows that repeat with one doc_id, source
+    and text, the first of them get the last round.
     """
-    mixed = fair_mix(docs.select("doc_id", "source", "text"), weights, max_epochs)
-    # A row for each different (doc_id, source, size), with how many rows it stands for and the rounds that all of them get.
-    per = mixed.groupBy(F.col("__doc_id").alias("d"), F.col("__source").alias("s"), F.col("size").alias("n")).agg(F.sort_array(F.collect_list("repeats"), False).alias("rounds"))
+    mixed = stash(fair_mix(docs.select("doc_id", "source", "text"), weights, max_epochs, seed).where("size > 0").select("__source", "__h", "repeats"), "mix-repeats")
+    last = F.max(F.struct("repeats", "__h"))
+    cuts = mixed.groupBy(F.col("__source").alias("s")).agg(F.min("repeats").alias("full"), last["repeats"].alias("most"), last["__h"].alias("cut"))
+    at_cut = mixed.join(cuts, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__h") == F.col("cut"))).groupBy(F.col("s").alias("c")).agg(F.count_if(F.col("repeats") == F.col("most")).alias("served"), F.count("*").alias("of"))
+    cuts = stash(cuts.join(at_cut, F.col("s").eqNullSafe(F.col("c"))).drop("c"), "mix-cuts")
     # The rows go along as one column, so that no name of theirs meets one of these.
-    whole = docs.select(F.struct(*docs.columns).alias("row")).select("row", n_words(F.col("row.text")).alias("size"))
-    joined = whole.join(stash(per, "mix-rounds"), F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
-    many = Window.partitionBy("d", "s", "n").orderBy("row.text")
-    one = joined.where(F.size("rounds") == 1).withColumn("k", F.get("rounds", F.lit(0)))
-    more = joined.where(F.size("rounds") > 1).withColumn("k", F.get("rounds", F.row_number().over(many) - 1))
-    return one.unionByName(more).withColumn("i", F.explode(F.array_repeat(F.lit(0), F.col("k").cast("int")))).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), _shuffled(F.col("doc_id"), F.col("text"), seed).alias("h"))
+    joined = whole.where("size > 0").join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    split = (F.col("h") == F.col("cut")) & (F.col("served") < F.col("of"))
+    clear = joined.where(~split).withColumn("k", F.when(F.col("h") <= F.col("cut"), F.col("most")).otherwise(F.col("full")))
+    turn = F.row_number().over(Window.partitionBy("s").orderBy("row.doc_id"))
+    shared = joined.where(split).withColumn("k", F.when(turn <= F.col("served"), F.col("most")).otherwise(F.col("most") - 1))
+    return clear.unionByName(shared).withColumn("i", F.explode(F.array_repeat(F.lit(0), F.col("k").cast("int")))).select("row.*")

@@ -82,6 +82,9 @@ def test_rows_are_repeated_as_taken(spark):
     want = sum(r.repeats for r in fair_mix(docs).collect())
     out = repeat_rows(docs)
     assert out.columns == docs.columns and out.count() == want
+    rows = [(i // 5, f"{'word ' * (1 + i // 5 % 4)}", "en", "abc"[i % 3], 0) for i in range(120)] + [(None, "of none", "en", None, 0)] * 30
+    got = sorted((str(r.doc_id), str(r.source)) for r in repeat_rows(frame(spark, rows)).collect())
+    assert got == sorted((str(r["__doc_id"]), str(r["__source"])) for r in fair_mix(frame(spark, rows)).collect() for _ in range(r.repeats))
 
 
 def test_any_column_names_and_rows_without_ids(spark):
