@@ -18,10 +18,10 @@ from tokenizers import Tokenizer
 from .words import split
 
 #: Slots of the table of strings whose ids a worker remembers, at most half of them used, and the ids that they take at
-#: most: together some 40 megabytes.
-SLOTS, MOST_IDS = 1 << 20, 4 << 20
+#: most: together some 20 megabytes.
+SLOTS, MOST_IDS = 1 << 19, 2 << 20
 #: Pieces of strings remembered while new strings are learnt.
-MOST_CUTS = 50_000
+MOST_CUTS = 20_000
 #: Bytes of the longest string that is merged here.
 LONGEST = 48
 NONE = np.int32(2**31 - 1)
@@ -168,11 +168,11 @@ class WordEncoder:
         self.used = 0
         self.store = np.zeros(1 << 16, "<u4")
         self.filled = 0
-        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.begin, self.size = np.zeros(SLOTS // 2, np.int32), np.zeros(SLOTS // 2, np.int32)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each hash its number, or -1; and the slot where the search ended."""
-        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        slot = (hashes >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
         number = self.where[slot]
         found = np.where(self.names[slot] == hashes, number, -1)
         going = np.flatnonzero((found < 0) & (number >= 0))
@@ -193,9 +193,6 @@ class WordEncoder:
             self.store = np.concatenate((self.store[: self.filled], np.zeros(max(total, self.filled), "<u4")))
         self.store[self.filled : self.filled + total] = np.frombuffer(b"".join(ids), "<u4")
         n = self.used
-        if n + len(ids) > len(self.begin):
-            more = np.zeros(max(len(ids), n), np.int64)
-            self.begin, self.size = np.concatenate((self.begin[:n], more)), np.concatenate((self.size[:n], more))
         self.begin[n : n + len(ids)] = self.filled + np.cumsum(size) - size
         self.size[n : n + len(ids)] = size
         self.filled, self.used = self.filled + total, n + len(ids)
@@ -229,7 +226,7 @@ class WordEncoder:
             self._add(fresh, self._ids([b.word(i) for i in at.tolist()]))
             found, _ = self._find(hashes)
         size = self.size[found]
-        sums = np.concatenate(([0], np.cumsum(size)))
+        sums = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         shift = np.repeat(self.begin[found] - sums[:-1], size)
         ids = self.store[np.arange(sums[-1]) + shift]
         bounds = sums[b.first]

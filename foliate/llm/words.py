@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Bytes of text that are worked on at a time; a byte takes some fifty bytes of arrays meanwhile.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SPACES = b" \t\n\x0b\x0c\r"
 _RANDOM = np.random.Generator(np.random.PCG64(4711))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
@@ -31,22 +31,33 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of a task's batches that gives freed memory back to the system when the task ends.
+    """A function of a task's batches that gives freed memory back to the system after every batch and at the task's end.
 
     Workers live on from task to task, and several idle ones can stand beside those at work.
     """
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        def each() -> Iterator:
+            for batch in batches:
+                yield batch
+                del batch
+                _release()
+
         try:
-            yield from work(batches)
+            yield from work(each())
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library than glibc
-                return
+            _release()
 
     return run
 
