@@ -27,6 +27,7 @@ LONGEST = 48
 NONE = np.int32(2**31 - 1)
 
 _LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_MARKS = b".,;:!?"
 #: How the tokenizer's own pattern cuts lower-cased strings of _LATIN.
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
@@ -139,8 +140,18 @@ class WordEncoder:
     def _ids(self, strings: list[bytes]) -> list[bytes]:
         """The ids of different strings without white space."""
         out: list[bytes] = [b""] * len(strings)
-        by_library, cut = [], {}
-        for i, w in enumerate(strings):
+        by_library, cut, others = [], {}, range(len(strings))
+        if self.merges_here:  # ASCII letters, perhaps with marks after them, are most strings, and are cut there
+            stems = [w.rstrip(_MARKS) for w in strings]
+            plain = [i for i, s in enumerate(stems) if s.isalpha() and len(strings[i]) <= LONGEST]
+            lower = [stems[i].lower() for i in plain]
+            different = [*{*lower, *(strings[i][len(stems[i]) :] for i in plain)} - {b""}]
+            ids = dict(zip(different, self._merge(different), strict=True)) | {b"": b""}
+            for i, s in zip(plain, lower, strict=True):
+                out[i] = ids[s] + ids[strings[i][len(s) :]]
+            others = sorted({*others} - {*plain})
+        for i in others:
+            w = strings[i]
             text = w.decode()
             if self.merges_here and _LATIN.fullmatch(text) and "<|" not in text:
                 cut[i] = _CUT.findall(text.lower())
@@ -223,7 +234,8 @@ class WordEncoder:
                 left, right = self.encode(texts.slice(0, middle), end), self.encode(texts.slice(middle), end)
                 return np.concatenate((left[0], right[0])), np.concatenate((left[1], right[1][1:] + left[1][-1]))
             at = unknown[first]
-            self._add(fresh, self._ids([b.word(i) for i in at.tolist()]))
+            raw = b.data.tobytes()
+            self._add(fresh, self._ids([raw[s:e] for s, e in zip(b.start[at].tolist(), b.end[at].tolist(), strict=True)]))
             found, _ = self._find(hashes)
         size = self.size[found]
         sums = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))

@@ -43,7 +43,7 @@ def test_bound_beats_the_sum_for_large_items():
     assert P.lower_bound(np.array([11] * 9), 20) == 9
 
 
-TEXTS = ["Don't stop'd ''S x'll!! <|endoftext|> a<|startoftext|>b", "ΑΣ ΣΑΣ. İstanbul ½²ª naïve é  x y ﬁ 漢字 𝒳 😀 12345 a1b2", "z" * 300 + " " + "ab" * 40, "\x00\x01 \x7f É×÷ß ẞ", "", "   ", "the quick brown fox"]
+TEXTS = ["Don't stop'd ''S x'll!! <|endoftext|> a<|startoftext|>b", "ΑΣ ΣΑΣ. İstanbul ½²ª naïve é  x y ﬁ 漢字 𝒳 😀 12345 a1b2", "z" * 300 + " " + "ab" * 40, "\x00\x01 \x7f É×÷ß ẞ", "", "   ", "the quick brown fox", "end... END!?; (end) it's, a" + "!" * 99 + " " + "b" * 60 + "."]
 
 
 @pytest.mark.parametrize("text", TEXTS)
