@@ -1,3 +1,4 @@
+from cases import base_rows, frame
 from oracle import DATA
 
 import corpus_pipeline as C
@@ -27,3 +28,20 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     out = C.run(spark, f"{DATA}/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing column names, and no rows at all."""
+    folder = f"{DATA}/sf0.001"
+    for rows in (base_rows(), []):
+        docs = frame(spark, rows)
+        for name, stage in C.STAGES[:-1]:
+            for given in (docs, frame(spark, rows)):  # what the stage before kept, and everything
+                out = stage(spark, given, folder)
+                assert out.columns == docs.columns, name
+                count = out.count()
+                assert count <= 3 * given.count()
+            docs = stage(spark, docs, folder)
+        for given in (docs, frame(spark, rows)):
+            pieces = C.packing(spark, given, folder)
+            assert pieces.where("piece = 0").count() == given.count()
