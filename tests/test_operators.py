@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliate.operators import graph, ingest, profile
 from foliate.operators.storage import MaterializedView, shared_dir
 from foliate.plans import benchmark
-from foliate.plans.queries import daily_activity, fulltext_ids
+from foliate.plans.queries import daily_models, fulltext_ids, model_names
 from foliate.sources import journal, tables
 
 
@@ -119,13 +119,14 @@ def test_fulltext_fixture(spark):
 
 
 def test_materialized_view_is_stale_until_refreshed(spark):
-    events = spark.createDataFrame([("2020-01-01 10:00:00", "a", 1)], "ts string, event_type string, user_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.createDataFrame([("2020-01-01 10:00:00", 1)], "processed_at string, file_id long").withColumn("processed_at", F.col("processed_at").cast("timestamp"))
     source = {"e": events}
-    view = MaterializedView(spark, f"{shared_dir(spark)}/view-test", lambda: daily_activity(source["e"]))
+    bridge = spark.createDataFrame([(i, 1 + i % 3) for i in range(10)], "file_id long, model_id int")
+    view = MaterializedView(spark, f"{shared_dir(spark)}/view-test", lambda: daily_models(source["e"], bridge, model_names(spark)))
     assert view.create().count() == 1
     with pytest.raises(FileExistsError):
         view.create()
-    source["e"] = events.unionByName(events.withColumn("ts", F.expr("ts + interval 1 day")))
+    source["e"] = events.unionByName(events.withColumn("processed_at", F.expr("processed_at + interval 1 day")))
     assert view.read().count() == 1 and view.refresh().count() == 2 and view.drop()
 
 
@@ -149,23 +150,36 @@ def test_manifest_shards_and_scan(spark, tmp_path):
     assert ingest.same_rows(d, spark.range(5)) and not ingest.same_rows(d, spark.range(4))
 
 
-def event(**k):
-    return json.dumps({"event": "diagnostic", **k})
-
-
-def test_journal_and_report(spark, tmp_path):
-    good = [json.dumps({"event": "run"}), json.dumps({"event": "layer", "layer": "chunks", "read": 3, "accepted": 1, "quarantined": 1, "duplicate": 1}), event(layer="chunks", kind="parse", column="date", status="partial"), event(layer="chunks", kind="quarantine", reason="NUL"), event(layer="chunks", kind="duplicate"), json.dumps({"event": "completed"})]
+def test_report_wants_a_whole_journal(spark, tmp_path):
+    line = lambda **k: json.dumps(k)
+    told = lambda **k: line(event="diagnostic", layer="layer", **k)
+    counts = {"read": 3, "accepted": 1, "quarantined": 1, "duplicate": 1}
+    good = [
+        line(event="run", status="started"),
+        line(event="layer", layer="layer", status="started"),
+        line(event="shard", layer="layer", source_file="f", **counts),
+        told(kind="parse", column="date", status="partial", raw="2006"),
+        told(kind="quarantine", reason="NUL", record="{}"),
+        told(kind="duplicate", record="{}"),
+        line(event="layer", layer="layer", status="committed", existing=4, stored=5, links=0, **counts),
+        line(event="run", status="completed", layers=1),
+    ]
 
     def report(lines, n=3):
-        path = tmp_path / f"j{abs(hash(tuple(lines)))}.json"
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
         path.write_text("\n".join(lines))
-        return journal.import_report(journal.read_journal(spark, str(path)), n)
+        return journal.import_report(journal.read_journal(spark, str(path)), {"layer": {"f": n}})
 
-    assert report(good)["categories"] == {"partial_date": 1, "NUL": 1, "duplicate": 1}
-    for bad, n in ((good, 4), (good[:-1], 3), (good[:3] + good[4:], 3), ([*good, json.dumps({"event": "rolled_back"})], 3)):
+    found = report(good)["layer"]
+    assert found["errors"]["partial_date"] == 1 and sum(found["errors"].values()) == 1
+    assert found["quarantine_reasons"] == {"NUL": 1} and found["diagnostics"] == {"duplicate": 1, "parse": 1, "quarantine": 1}
+    without = lambda i: good[:i] + good[i + 1 :]
+    for bad in (*(without(i) for i in (0, 1, 2, 4, 5, 6, 7)), [*good, line(event="layer", layer="layer", status="rolled_back")], [*good, good[0]], [*good, told(kind="duplicate")], [x.replace('"stored": 5', '"stored": 6') for x in good]):
         with pytest.raises(ValueError):
-            report(bad, n)
-    with pytest.raises(Exception):
+            report(bad)
+    with pytest.raises(ValueError, match="manifest"):
+        report(good, 4)
+    with pytest.raises(ValueError, match="line 9"):
         report([*good, "{broken"])
 
 
