@@ -249,12 +249,15 @@ SPARE: dict[str, Callable[[str, str], str]] = {
 }
 
 _PERSON = "|".join(f"(?P<{g}>{t})" for g, t in TITLES.items())
+#: What follows isn't a blank and an address: numbers in groups would take in its first octets.
+_NO_IP = r"(?! (?:\d{1,3}\.){3}\d)"
 _FIND = re.compile(
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d))"
+    rf"|(?P<phone>(?<![\w+])(?:\+1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\w|-\d)|\+\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:{_NO_IP}[ .-]?\d{{2,4}}){{2,4}}"
+    r"|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d))"
     r"|(?<![\w-])(?P<national_id>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
+    rf"|(?<!\w)(?P<card>\d(?:{_NO_IP}[ -]?\d){{12,18}})(?!\w)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?!\w)"
     r"|(?<!\w)(?P<access_key>A(?:KIA|SIA)[A-Z0-9]{16})(?!\w)"
     r"|(?i:(?<![A-Za-z0-9])(?:token|password|passwd|secret|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,}))"
