@@ -46,6 +46,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and from its root, as a reader tells the paths of its files."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def drop(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)

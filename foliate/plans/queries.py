@@ -423,10 +423,11 @@ def import_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of three files, as their manifest has them; it is an error if one has no digest or no bytes."""
+    """The rows of three tables, as the manifest of their files has them; it is an error if one has no digest or no bytes."""
     found = manifest(spark, [f"{d}/{t}.parquet" for t in ("nation", "orders", "pages")])
     sound = (F.length("sha256") == 64) & (F.col("bytes") > 0)
-    return found.select("file", F.when(sound, F.col("rows")).otherwise(F.raise_error(F.lit("no digest"))).cast("long").alias("rows"))
+    rows = F.when(sound, F.col("rows")).otherwise(F.raise_error(F.lit("no digest"))).cast("long")
+    return found.groupBy(F.element_at(F.split("file", "/"), 1).alias("file")).agg(F.sum(rows).alias("rows"))
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:

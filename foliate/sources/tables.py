@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.storage import exists
+from ..operators.storage import exists, qualified
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,13 +32,23 @@ def scan_layer(spark: SparkSession, paths: list[str], schema: T.StructType | Non
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, sha256, bytes and rows of each file: rows of Parquet files, line feeds of others."""
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
+    """file, sha256, bytes and rows of each file: rows of Parquet files, line feeds of others.
+
+    A path is a file or a folder, of which all files count. file begins with the path's last part (`pages.parquet`, or
+    `pages.parquet/part-0.parquet` in a folder). It is an error if a folder named as Parquet holds other files, or if a file
+    has 2 GB or more.
+    """
+    paths = list(dict.fromkeys(paths))
+    reader = spark.read.option("recursiveFileLookup", "true")
+    files = reader.format("binaryFile").load(paths)
+    given = F.get(F.filter(F.lit([qualified(spark, p) for p in paths]), lambda g: (F.col("path") == g) | F.col("path").startswith(F.concat(g, F.lit("/")))), 0)
+    files = files.withColumns({"at": F.col("_metadata.file_path"), "name": F.element_at(F.split("path", "/"), -1), "given": given})
+    file = F.coalesce(F.concat(F.element_at(F.split("given", "/"), -1), F.expr("substr(path, length(given) + 1)")), "name")
     lines = F.length(F.col("content")) - F.length(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\n", ""))
-    hashed = files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), lines.cast("long").alias("lines"))
-    tables = [p for p in paths if p.endswith(".parquet")]
-    if not tables:
+    stray = F.raise_error(F.concat(F.lit("no Parquet file: "), "path"))
+    lines = F.when(~F.col("name").endswith(".parquet"), F.when(F.col("given").endswith(".parquet"), stray).otherwise(lines).cast("long"))  # null of Parquet files
+    hashed = files.select("at", file.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), lines.alias("lines"))
+    if files.where(F.col("name").endswith(".parquet")).isEmpty():
         return hashed.select("file", "sha256", "bytes", F.col("lines").alias("rows"))
-    counts = spark.read.option("mergeSchema", "false").parquet(*tables).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
-    return hashed.join(counts, "file", "left").select("file", "sha256", "bytes", F.coalesce("n", F.when(F.col("file").endswith(".parquet"), F.lit(0)).otherwise(F.col("lines"))).alias("rows"))
+    counts = reader.option("mergeSchema", "false").option("pathGlobFilter", "*.parquet").parquet(*paths).groupBy(F.col("_metadata.file_path").alias("at")).agg(F.count("*").alias("n"))
+    return hashed.join(counts, "at", "left").select("file", "sha256", "bytes", F.coalesce("lines", "n", F.lit(0)).alias("rows"))

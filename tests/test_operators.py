@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliate.operators import graph, ingest, profile
 from foliate.operators.storage import MaterializedView, shared_dir
-from foliate.plans import benchmark
+from foliate.plans import benchmark, queries
 from foliate.plans.queries import daily_models, fulltext_ids, model_names
 from foliate.sources import journal, tables
 
@@ -150,6 +150,28 @@ def test_manifest_shards_and_scan(spark, tmp_path):
     assert ingest.same_rows(d, spark.range(5)) and not ingest.same_rows(d, spark.range(4))
 
 
+def test_manifest_of_tables_in_folders(spark, tmp_path):
+    """Folders of parts, in which names repeat, are as whole as files; a mixed folder is told apart file by file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "a b%20ü.parquet"
+    sizes = {"nation.parquet": 2, "orders.parquet/part-0.parquet": 3, "orders.parquet/o=1/part-0.parquet": 4, "orders.parquet/o=1/part-1.parquet": 0, "pages.parquet/part-0.parquet": 5, "mixed/part-0.parquet": 6}
+    for name, n in sizes.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({name[:2]: list(range(n))}), root / name)
+    (root / "mixed/README").write_bytes(b"a\nb")
+    (root / "orders.parquet/_SUCCESS").write_bytes(b"")
+    got = tables.manifest(spark, [f"{root}/{t}" for t in ("nation.parquet", "orders.parquet", "pages.parquet", "mixed")]).collect()
+    assert {r.file: r.rows for r in got} == sizes | {"mixed/README": 1} and len(got) == 7
+    assert all(r.bytes == (root / r.file).stat().st_size for r in got)
+    assert {r.file: r.rows for r in tables.manifest(spark, [f"{root}/mixed/README"]).collect()} == {"README": 1}
+    assert sorted(map(tuple, queries.manifest_rows(spark, str(root)).collect())) == [("nation.parquet", 2), ("orders.parquet", 7), ("pages.parquet", 5)]
+    (root / "pages.parquet/part-1").write_bytes(b"PAR1")
+    with pytest.raises(Exception, match="no Parquet file"):
+        queries.manifest_rows(spark, str(root)).collect()
+
+
 def test_report_wants_a_whole_journal(spark, tmp_path):
     line = lambda **k: json.dumps(k)
     told = lambda **k: line(event="diagnostic", layer="layer", **k)
