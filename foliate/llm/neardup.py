@@ -302,7 +302,7 @@ def _places(digests: pa.Array, words: int) -> np.ndarray:
     return (mix(halves) % np.uint64(64 * words)).astype(np.int64)
 
 
-def _maybe_in(digests: DataFrame) -> Callable[[Column], Column]:
+def maybe_in(digests: DataFrame) -> Callable[[Column], Column]:
     """Whether a digest may be among digests: true for all that are. A Bloom filter, sized by the number of digests."""
     words = int(min(max(digests.count() // 8, LEAST_WORDS), MOST_WORDS))
 
@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rare: int = R
     # The texts that are candidates at all, once each.
     wanted = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnRenamed("digest", "d")
     wanted = stash(wanted, "neardup-wanted")
-    maybe = _maybe_in(wanted.select(F.col("d").alias("digest")))
+    maybe = maybe_in(wanted.select(F.col("d").alias("digest")))
     own = read.where(maybe(F.col("digest"))).join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = stash(own.select("digest", "text").dropDuplicates(["digest"]), "neardup-candidates")
     links = _verified(stars, texts, weights, threshold)
@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A text of which no other row has a near copy stays as it is; only the others' rows move.
     per = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("kept").alias("all_kept"))
     moving = stash(per.where("n > 1 or not all_kept").select("digest"), "neardup-moving")
-    maybe = _maybe_in(moving)
+    maybe = maybe_in(moving)
     # The rows go along as one column, so that no name of theirs meets one of these.
     own = docs.where("text is not null").select(F.struct(*columns).alias("row"), "doc_id", _digest(F.col("text")).alias("digest"))
     own = own.withColumn("maybe", maybe(F.col("digest")))

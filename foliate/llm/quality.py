@@ -13,15 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import drop
+from .common import fresh_path, stash
+from .neardup import maybe_in
 from .words import Batch, slices, split, tidy, windows
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-#: At most so many trusted documents are used: those whose ids have the smallest digests.
-TRUSTED_ROWS = 5000
+#: Trusted documents that are halved together, more or less.
+GROUP_ROWS = 5000
 #: The share of trusted documents that may score below the threshold, before the margin is taken off.
 LOWEST_SHARE, MARGIN = 0.001, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -102,17 +105,50 @@ def _log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return share(target) - share(raw) if target.sum() else np.zeros(len(raw))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> Model:
+def _halves(labels: DataFrame) -> DataFrame:
+    """(id, fold) of every trusted document, one with quality 1 that isn't toxic: even halves in the order of its id's digest."""
+    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
+    good = good.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    group = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-good.count() // GROUP_ROWS))))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.md5(F.col("id").cast("string")), "id"))
+    return good.select("id", ((place - 1) % 2).alias("fold"))
+
+
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Floats as integers of the same order; its own inverse on their bits."""
+    bits = x.view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def _at_place(keys: DataFrame, place: int) -> int:
+    """The key at a place of the ascending (key long), sixteen bits a pass: at most 65,536 counts come to the driver."""
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("key", shift)
+        for value, n in sorted(map(tuple, keys.groupBy(part).agg(F.count("*")).collect())):
+            if place < n:
+                break
+            place -= n
+        keys = keys.where(part == value)
+    return value
+
+
+def _id_digest(doc_id: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Model:
     """The model of all (doc_id, text), by labels (doc_id, quality, toxic).
 
-    All documents are counted; the trusted ones are at most trusted_rows of those with quality 1 that aren't toxic. What
-    comes to the driver is a count for each bucket and a score for each trusted document. Without a trusted document every
-    score is 0 and the threshold is below it.
+    All documents are counted, and all trusted ones are used, those with quality 1 that aren't toxic; their texts are written
+    to the shared folder until they are scored. What comes to the driver is a count for each bucket and, to find the
+    threshold, counts of leading bits of the scores. Without a trusted document every score is 0 and the threshold is below it.
     """
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = np.array([r[0] for r in good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(trusted_rows).collect()], np.int64)
-    half = dict(zip(ids.tolist(), (np.arange(len(ids)) % 2).tolist(), strict=True))
+    spark = docs.sparkSession
+    trusted = stash(_halves(labels), "quality-trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    maybe = maybe_in(trusted.select(_id_digest(F.col("id")).alias("digest")))  # only texts that may be trusted move
+    # The same join at every size, so that disk and time grow in proportion.
+    own = rows.where(maybe(_id_digest(F.col("doc_id")))).join(trusted.hint("merge"), F.col("doc_id") == F.col("id")).select("fold", "text")
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,37 +156,39 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows
         for batch in (part for whole in batches for part in slices(whole, 1)):
             b = split(batch.column("text"))
             at, doc = _features(b, b.hashes(), buckets)
-            fold = np.array([half.get(x, 2) for x in batch.column("doc_id").to_pylist()], np.int64)
+            fold = batch.column("fold").to_numpy()
             for i in range(3):
                 sums[i] += np.bincount(at[fold[doc] == i], minlength=buckets)
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], names=["bucket", "a", "b", "c"])
 
-    counted = rows.mapInArrow(count, "bucket long, a long, b long, c long").groupBy("bucket").agg(*[F.sum(x).alias(x) for x in "abc"])
-    sums = np.zeros((3, buckets))
-    for r in counted.collect():  # at most a row a bucket
-        sums[:, r.bucket] = r.a, r.b, r.c
-    raw = sums.sum(axis=0)
-    folds = [_log_ratio(sums[1], raw), _log_ratio(sums[0], raw)]  # a half is scored by the other
-
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             b = split(batch.column("text"))
-            hashes = b.hashes()
-            fold = np.array([half[x] for x in batch.column("doc_id").to_pylist()], np.int64)
-            both = np.stack([_scores(b, hashes, r) for r in folds]).reshape(2, -1)
-            kept = b.counts() >= MIN_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array(both[fold, np.arange(len(fold))][kept])], names=["score"])
-
-    threshold = -1.0
-    if len(ids):
-        trusted = docs.sparkSession.createDataFrame([(int(x),) for x in ids], "t long")
-        own = rows.join(F.broadcast(trusted), F.col("doc_id") == F.col("t"), "left_semi")  # trusted_rows bounds it
-        scores = np.array([r[0] for r in own.mapInArrow(score, "score double").collect()])
-        if len(scores):
-            threshold = float(np.quantile(scores, LOWEST_SHARE, method="lower")) - MARGIN
-    return Model(_log_ratio(sums[0] + sums[1], raw), threshold)
+            at, doc = _features(b, b.hashes(), buckets)
+            fold = batch.column("fold").to_numpy()
+            scores = np.bincount(doc, folds[fold[doc], at], minlength=len(fold)) / np.maximum(b.counts(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(_sortable(scores[b.counts() >= MIN_WORDS]))], names=["key"])
+
+    path = fresh_path(spark, "quality-own")
+    try:
+        own.write.option("compression", "zstd").parquet(path)
+        own = spark.read.schema(own.schema).parquet(path)
+        # Every document counts as one of all, and a trusted one once more in its half.
+        counted = rows.select(F.lit(2).alias("fold"), "text").unionByName(own).mapInArrow(count, "bucket long, a long, b long, c long")
+        sums = np.zeros((3, buckets))
+        for r in counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in "abc"]).collect():  # at most a row a bucket
+            sums[:, r.bucket] = r.a, r.b, r.c
+        folds = np.stack([_log_ratio(sums[1], sums[2]), _log_ratio(sums[0], sums[2])])  # a half is scored by the other
+        keys = stash(own.mapInArrow(score, "key long"), "quality-scores")
+    finally:
+        drop(spark, path)
+    n, threshold = keys.count(), -1.0
+    if n:
+        lowest = np.array([_at_place(keys, int(LOWEST_SHARE * (n - 1)))], np.int64)
+        threshold = float(_sortable(lowest.view(np.float64)).view(np.float64)[0]) - MARGIN
+    return Model(_log_ratio(sums[0] + sums[1], sums[2]), threshold)
 
 
 def _judge(texts: pa.Array, model: Model) -> dict[str, np.ndarray]:
