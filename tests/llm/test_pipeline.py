@@ -1,3 +1,5 @@
+import hashlib
+
 from cases import base_rows, frame
 from oracle import DATA
 
@@ -45,3 +47,13 @@ def test_stages_on_odd_rows_and_empty_tables(spark):
         for given in (docs, frame(spark, rows)):
             pieces = C.packing(spark, given, folder)
             assert pieces.where("piece = 0").count() == given.count()
+
+
+def test_quality_learns_from_all_trusted(spark, tmp_path):
+    """900 trusted documents whose ids have the largest digests of 5,900 have words of their own; all are kept, junk isn't."""
+    ids = sorted(range(5900), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    text = lambda word, i: " ".join(f"{word}{(i * 13 + j * 7) % 61}" for j in range(55))
+    rows = [(i, text("plain" if place < 5000 else "late", i)) for place, i in enumerate(ids)] + [(10_000 + i, text("$junk", i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.createDataFrame([(i, int(i < 10_000), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in C.quality(spark, docs, str(tmp_path)).collect()) == list(range(5900))
