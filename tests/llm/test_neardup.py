@@ -1,5 +1,6 @@
 import pytest
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from cases import LONG, base_rows, frame
 
 from foliate.llm import neardup as N
 from foliate.llm.components import components
+from foliate.llm.words import split
 
 NONE = N.Weights(np.zeros(0, np.uint64), np.zeros(0), 2.0)
 
@@ -171,3 +173,18 @@ def test_full_filters_change_nothing(spark, monkeypatch, most):
     out = N.keep_one(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r.kept for r in N.near_duplicates(docs).dropDuplicates(["doc_id", "digest", "kept"]).collect() if r.digest) + docs.where("text is null").count()
+
+
+def test_document_frequencies_are_of_every_row(spark):
+    """Of 5,400 documents, in two parts of several chunks: what only the last hundred hold counts, to the document."""
+    n = 5400
+    texts = [" ".join(f"o{i}x{j}" for j in range(6)) for i in range(n)]
+    for words, holders in (("just frequent as one of hundred", range(n - 54, n)), ("one document short of frequent", range(n - 53, n)), ("spread evenly over all parts", range(0, n, 20)), ("at the front of them", range(70))):
+        for i in holders:
+            texts[i] += f" {words} {words}"
+    counts = Counter(g for t in texts for g in set(zip(*(t.split()[k:] for k in range(N.WORDS)))))
+    want = {N.shingles(split(pa.array([" ".join(g)]), lower=True))[1][0]: N.idf(c / n) for g, c in counts.items() if c * N.RARE >= n}
+    assert len(want) > 10 and Counter(counts.values())[53] > 0
+    weights = N.frequent_weights(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2))
+    assert weights.hashes.tolist() == sorted(weights.hashes.tolist())
+    assert dict(zip(weights.hashes.tolist(), weights.idf.tolist(), strict=True)) == pytest.approx({int(h): x for h, x in want.items()}, rel=1e-12)
